@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import bytebpe, htmltext, licenses, matroska
+from lexweave.llm import bytebpe, htmltext, licenses, matroska, quality, simhash
 from lexweave.llm.common import load
 
 
@@ -22,6 +22,10 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(load(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(load(spark, sf_dir, "documents"))
 
@@ -38,11 +42,17 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(load(spark, sf_dir, "pages"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_media_columns": op2_media_columns,
     "op6_license_scans": op6_license_scans,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_html_extraction": op9_html_extraction,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}
