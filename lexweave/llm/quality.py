@@ -94,7 +94,12 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         lambda s, i: F.struct((s["n"] + i + 3 - F.greatest(i, s["end"])).alias("n"), (i + 3).alias("end")),
         lambda s: s["n"].cast("long"),
     )
-    return d.withColumn(_P + "n_repeat_words", covered).drop(*(_P + x for x in ("words", "lines", "triples", "sorted", "starts")))
+    names = ("n_words", "word_chars", "n_symbols", "n_shouts", "n_bangs", "n_stops", "n_distinct", "n_dup_lines")
+    # the generator keeps the optimizer from putting these expressions into later filters,
+    # where each use would evaluate them again
+    packed = F.struct(*(_c(x).alias(x) for x in names), covered.alias("n_repeat_words"))
+    d = d.select(*(F.col(f"`{x}`") for x in docs.columns), F.explode_outer(F.array(packed)).alias(_P + "s"))
+    return d.select(*(F.col(f"`{x}`") for x in docs.columns), *(_c("s")[x].alias(_P + x) for x in (*names, "n_repeat_words")))
 
 
 def rules() -> dict[str, Column]:
