@@ -54,8 +54,8 @@ def section_context(links: DataFrame, infractions: DataFrame) -> DataFrame:
 
 def text_references(docs: DataFrame, places: DataFrame, pattern: str) -> DataFrame:
     """References in texts (group 1 of ``pattern``) to known sections, once per document."""
-    refs = docs.select("id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), 1), lambda x: F.lower(x)))).alias("key"))
-    return refs.join(places, "key").select(refs["id"].alias("from_id"), "key", places["id"].alias("to_id"))
+    refs = docs.select(F.col("id").alias("from_id"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), 1), lambda x: F.lower(x)))).alias("key"))
+    return refs.join(places.select("key", F.col("id").alias("to_id")), "key").select("from_id", "key", "to_id")
 
 
 def title_lookup(wanted: DataFrame, titles: DataFrame) -> DataFrame:

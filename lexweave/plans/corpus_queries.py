@@ -465,9 +465,9 @@ def nearest_columns(spark, d):
     return table(spark, d, "part").select("p_partkey", folds.nearest_center(F.col("p_size").cast("double"), F.array(F.lit(10.0), F.lit(25.0), F.lit(40.0))).alias("col"))
 
 
-@q("""SELECT l_orderkey, l_linenumber, last_value(CASE WHEN l_linenumber % 3 = 1 THEN l_shipdate END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM lineitem""")
+@q("""SELECT l_orderkey, l_linenumber, last_value(CASE WHEN l_linenumber % 3 = 1 THEN l_shipdate END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM lineitem""")
 def carry_forward(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.last(F.when(F.col("l_linenumber") % 3 == 1, F.col("l_shipdate")), ignorenulls=True).over(w).alias("carried"))
 
 
