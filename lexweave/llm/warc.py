@@ -200,5 +200,13 @@ def page_captures(pages: DataFrame) -> DataFrame:
     return captures.select(
         F.col("metadata.page_id").alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"),
         F.col("capture.digest").alias("payload_digest"), F.col("capture.kind").alias("record_type"),
-        F.col("capture.refers_page").alias("refers_to"), F.col("request.line").alias("request_line"),
+        F.col("capture.refers_page").alias("refers_to"), F.col("n_requests"), F.col("n_metadata"),
     )
+
+
+#: The same in DuckDB SQL (page ids without repeats).
+ORACLE = f"""WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+ f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= {LEAST_PAYLOAD} GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN first <> page_id THEN first END AS refers_to, CAST(1 AS BIGINT) AS n_requests, CAST(1 AS BIGINT) AS n_metadata
+FROM p LEFT JOIN f ON p.d = f.d"""
