@@ -86,7 +86,7 @@ def reverse_links(spark, d):
 @q(f"""{_LINKS} SELECT section, row_number() OVER (PARTITION BY section ORDER BY concat_ws('/', l_orderkey, l_linenumber)) - 1 AS pos, concat_ws('/', l_orderkey, l_linenumber) AS id FROM b WHERE l_linenumber <= 2""")
 def section_context(spark, d):
     out, inf = _links(spark, d)
-    return links.section_context(out.where("infractions is not null"), inf.select("id")).select("section", F.col("pos").cast("bigint").alias("pos"), "id")
+    return links.section_context(out.where("infractions is not null"), inf.select("id").distinct()).select("section", F.col("pos").cast("bigint").alias("pos"), "id")
 
 
 @q(f"""WITH {SECTIONS_SQL}, r AS (SELECT DISTINCT id AS from_id, lower(unnest(regexp_extract_all(text, '(\\d+-\\d+)', 1))) AS key FROM sections), s AS (SELECT right(citation, length(citation) - strpos(citation, '-')) AS n, id, citation FROM sections)
