@@ -63,7 +63,7 @@ class NoticeFinder:
 
     def __init__(self, notices=NOTICES):
         self.notices = list(notices)
-        self.patterns = [regex.compile(f"(?be)(?: {regex.escape(n.words, special_only=True)} ){{e<={n.edits}}}" if n.edits else regex.escape(f" {n.words} ")) for n in self.notices]
+        self.patterns = [regex.compile(f"(?e)(?: {regex.escape(n.words, special_only=True)} ){{e<={n.edits}}}" if n.edits else regex.escape(f" {n.words} ")) for n in self.notices]
         self.seeds = ahocorasick.Automaton()
         table: dict[str, list[tuple[int, int]]] = {}
         for i, n in enumerate(self.notices):
