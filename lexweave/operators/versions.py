@@ -254,3 +254,23 @@ def secondary_checks(report: DataFrame, policy: Mapping = SECONDARY_POLICY) -> D
 def gate(found: DataFrame) -> DataFrame:
     """One row: whether all checks passed, and how many did not."""
     return found.agg(F.bool_and("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+
+
+def corpus_report(before: DataFrame, after: DataFrame, diff: DataFrame) -> DataFrame:
+    """One row of counts before and after, memberships and changes for ``corpus_checks``.
+
+    Every part is one row, so the joins below are of single rows.
+    """
+
+    def counts(df: DataFrame, when: str) -> DataFrame:
+        return df.agg(
+            F.countDistinct("title_number").alias(f"titles_{when}"), F.countDistinct("title_number", "chapter_id").alias(f"chapters_{when}"), F.count("*").alias(f"provisions_{when}")
+        )
+
+    out = counts(before, "before").crossJoin(counts(after, "after"))
+    for name, cols in (("titles", ["title_number"]), ("chapters", ["title_number", "chapter_id"])):
+        b, a = before.select(*cols).distinct(), after.select(*cols).distinct()
+        out = out.crossJoin(a.join(b, cols, "left_anti").agg(F.count("*").alias(f"{name}_added")))
+        out = out.crossJoin(b.join(a, cols, "left_anti").agg(F.count("*").alias(f"{name}_removed"))).withColumn(f"{name}_changed", F.lit(0))
+    summary = diff_summary(diff).select(*(F.col(x).alias(f"provisions_{x}") for x in ("added", "removed", "changed")))
+    return out.crossJoin(summary)

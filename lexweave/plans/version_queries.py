@@ -107,15 +107,7 @@ def diff_secondary(spark, d):
 
 def report(spark, d):
     """One row of counts before and after for titles, chapters and provisions."""
-    before, after = snapshots(spark, d)
-    counts = lambda df, x: df.agg(F.countDistinct("title_number").alias(f"titles_{x}"), F.countDistinct("title_number", "chapter_id").alias(f"chapters_{x}"), F.count("*").alias(f"provisions_{x}"))
-    out = counts(before, "before").crossJoin(counts(after, "after"))  # one row each
-    for name, cols in (("titles", ["title_number"]), ("chapters", ["title_number", "chapter_id"])):
-        b, a = before.select(*cols).distinct(), after.select(*cols).distinct()
-        out = out.crossJoin(a.join(b, cols, "left_anti").agg(F.count("*").alias(f"{name}_added")))
-        out = out.crossJoin(b.join(a, cols, "left_anti").agg(F.count("*").alias(f"{name}_removed"))).withColumn(f"{name}_changed", F.lit(0))
-    s = v.diff_summary(diff(spark, d)).select(*(F.col(x).alias(f"provisions_{x}") for x in ("added", "removed", "changed")))
-    return out.crossJoin(s)
+    return v.corpus_report(*snapshots(spark, d), diff(spark, d))
 
 
 _REPORT_SQL = f"""{_SNAP_SQL}, r AS (SELECT

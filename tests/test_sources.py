@@ -88,3 +88,26 @@ def test_entry_imports_without_the_optional_part(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; n = e.queries(); assert 'search_boolean' in n and not any(x.startswith('op') and x[2].isdigit() for x in n); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "r")})
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    from lexweave.cli import run
+
+    s = sections(spark, sf_dir)
+    s.write.parquet(str(tmp_path / "a"))
+    s.where("doc_id % 10 <> 0").write.parquet(str(tmp_path / "b"))
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    assert run(["search", "--data", a, "--query", "the", "--limit", "2"], spark) == 0 and "| citation |" in capsys.readouterr().out
+    assert run(["search", "--data", a, "--query", '"open'], spark) == 1
+    assert run(["gate", "--before", a, "--after", a], spark) == 0 and run(["gate", "--before", a, "--after", b], spark) == 1
+    assert run(["diff", "--before", a, "--after", b, "--titles", "none"], spark) == 0 and "| 0 | 0 | 0 |" in capsys.readouterr().out
+    assert run(["validate", "--data", a], spark) == 0
+
+
+def test_linked_text_and_binding(spark):
+    from lexweave.operators.reports import binding_errors, link_text
+
+    d = spark.createDataFrame([("See 1-2A & 9-9", {"1-2a": "#/x"})], "t string, m map<string,string>")
+    assert d.select(link_text(F.col("t"), F.col("m")).alias("h")).first().h == 'See <a href="#/x">1-2A</a> &amp; 9-9'
+    e = spark.createDataFrame([("2026", "b", "1.0.0", "t", "h"), ("2025", "b", "1.0.0", "t", "other")], "edition string, base_id string, schema_version string, generated_at string, manifest_sha256 string")
+    assert [(r.edition, r.wrong) for r in binding_errors(e, e.limit(1).drop("edition")).collect()] == [("2025", ["manifest_sha256"])]
