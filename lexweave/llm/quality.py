@@ -200,7 +200,49 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> D
     """
     d = score(docs, params, narrow=True)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
-    return d.select("doc_id", *(_c(x).alias(x) for x in names))
+    return d.select("doc_id", *((F.round(_c(x), 6) if x == "posterior" else _c(x)).alias(x) for x in names))
+
+
+def oracle(p: QualityParams = QualityParams()) -> str:
+    """The same in DuckDB SQL: statistics by unnesting, votes as masks, EM as a recursion over
+    one row that holds the posteriors of all patterns."""
+    n = "greatest(n_words, 1)"
+    votes = [  # (votes when, good or bad)
+        ("n_words < 50", "bad"), (f"word_chars / {n} < 1.8 OR word_chars / {n} > 40", "bad"), (f"n_symbols / {n} >= 0.25", "bad"), (f"n_shouts / {n} >= 0.4", "bad"),
+        (f"n_bangs / {n} >= 0.25", "bad"), (f"n_repeat_words / {n} >= 0.4", "bad"), (f"n_dup_lines >= greatest(3.0, {n} / 40)", "bad"),
+        (f"n_stops / {n} BETWEEN 0.01 AND 0.5 AND n_bangs / {n} < 0.1", "good"),
+        (f"n_distinct / {n} >= CASE WHEN {n} < 2000 THEN 0.25 ELSE 0.05 END AND n_symbols / {n} < 0.1", "good"),
+        (f"n_symbols / {n} < 0.1 AND n_shouts / {n} < 0.2 AND n_bangs / {n} < 0.1 AND n_repeat_words / {n} < 0.3", "good"),
+    ]
+    mask = ", ".join(f"CASE WHEN {when} THEN 1 ELSE 0 END" for when, _ in votes)
+    any_bad = " OR ".join(f"v[{j + 1}] = 1" for j, (_, kind) in enumerate(votes) if kind == "bad")
+    rules = range(1, len(votes) + 1)
+    s = f"{p.smoothing}::DOUBLE"
+    hit = lambda j, x: f"list_sum(list_transform(range(1, len(ns) + 1), lambda i: ns[i] * vs[i][{j}] * ({x})))"
+    a = ", ".join(f"({hit(j, 'post[i]')} + {s}) / (good + {2 * p.smoothing}::DOUBLE)" for j in rules)
+    b = ", ".join(f"({hit(j, '1 - post[i]')} + {s}) / (total - good + {2 * p.smoothing}::DOUBLE)" for j in rules)
+    total = " + ".join(f"CASE WHEN vs[i][{j}] = 1 THEN ln(a[{j}] / b[{j}]) ELSE ln((1 - a[{j}]) / (1 - b[{j}])) END" for j in rules)
+    return f"""WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), tri AS (SELECT r, i, list_extract(ws, i) AS x, list_extract(ws, i + 1) AS y, list_extract(ws, i + 2) AS z FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)
+), rep AS (SELECT r, i FROM tri QUALIFY count(*) OVER (PARTITION BY r, x, y, z) > 1
+), cov AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY r
+), stats AS (SELECT w.r, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  len(regexp_extract_all(t, '\\p{{Lu}}{{2,}}')) AS n_shouts, len(regexp_extract_all(t, '[!?]{{2,}}')) AS n_bangs, len(regexp_extract_all(t, '[.!?\u3002\uff01\uff1f\u0964\u061f]')) AS n_stops, len(list_distinct(ws)) AS n_distinct,
+  (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))))::BIGINT AS n_dup_lines,
+  coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov ON w.r = cov.r
+), voted AS (SELECT *, [{mask}] AS v FROM stats
+), pat AS (SELECT v, count(*) AS n FROM voted GROUP BY v
+), lists AS (SELECT list(v ORDER BY v) AS vs, list(n ORDER BY v) AS ns, sum(n)::DOUBLE AS total FROM pat
+), em(it, post) AS (
+  SELECT 0, (SELECT list(CASE WHEN {any_bad} THEN {p.start_bad}::DOUBLE ELSE {1 - p.start_bad}::DOUBLE END ORDER BY v) FROM pat)
+  UNION ALL
+  SELECT it + 1, list_transform(range(1, len(ns) + 1), lambda i: 1 / (1 + exp(-greatest(-60.0, least(60.0, ln((good + {s}) / (total - good + {s})) + {total})))))
+  FROM (SELECT *, [{a}] AS a, [{b}] AS b FROM (SELECT *, list_sum(list_transform(range(1, len(ns) + 1), lambda i: ns[i] * post[i])) AS good FROM em, lists WHERE it < {p.iterations}) e) f
+), post AS (SELECT unnest(vs) AS v, unnest(post) AS p FROM em, lists WHERE it = {p.iterations})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {p.min_words} OR 100 * n_repeat_words > {p.max_repeat_percent} * n_words AS base_failed,
+  NOT (n_words < {p.min_words} OR 100 * n_repeat_words > {p.max_repeat_percent} * n_words) AND p >= {p.threshold} AS kept, round(p, 6) AS posterior
+FROM voted JOIN post ON voted.v = post.v"""
 
 
 def keep_good(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:

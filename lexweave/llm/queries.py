@@ -85,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {"op4_line_dedup": linededup.oracle(), "op5_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op1_quality_rules": quality.oracle(), "op4_line_dedup": linededup.oracle(), "op5_warc": warc.ORACLE}
