@@ -40,6 +40,9 @@ NAMES = frozenset(
 #: Names that keep what is in an article's own header.
 HEADER_NAMES = frozenset(["header", "masthead"])
 
+#: Names of reader comments; what looks like an article inside is a comment.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+
 _ATTR = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:" + _ATTR + r")>.*?(?:</\1\s*[^>]*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:" + _ATTR + r"|[^<>]*))>|<[!?][^>]*>",
@@ -59,22 +62,23 @@ class Line:
     article: int
 
 
-def _marks(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element starts page furniture."""
+def _marks(tag: str, attrs: str, in_article: bool) -> int:
+    """2 if an element is page furniture, 1 if only a name says so (an article inside such a
+    wrapper is still one), 0 if it is none."""
     if tag in FURNITURE or (tag == "header" and not in_article):
-        return True
+        return 2
     if not attrs or tag in ("html", "body"):
-        return False
+        return 0
     for m in _NAMED.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return 2
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return 2
         elif name == "role":
             if value in ROLES:
-                return True
+                return 2
         elif tag not in ("main", "a", "span", "em", "strong", "b", "i", "code") or name == "id":
             for token in value.split():
                 words = _WORD.findall(token)
@@ -82,14 +86,14 @@ def _marks(tag: str, attrs: str, in_article: bool) -> bool:
                     continue
                 hit = [w for w in words if w in NAMES]
                 if hit and not (in_article and set(hit) <= HEADER_NAMES):
-                    return True
-    return False
+                    return 2 if set(hit) & COMMENT_NAMES else 1
+    return 0
 
 
 def lines_of(page: str) -> list[Line]:
     """The page as lines: one per stretch of text between block elements."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, whether it started furniture, its article
+    stack: list[tuple[str, int, int]] = []  # tag, furniture and article around it
     parts: list[str] = []
     state = {"furniture": 0, "articles": 0, "article": 0, "link": 0, "linked": 0}
 
@@ -111,9 +115,7 @@ def lines_of(page: str) -> list[Line]:
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            tag, furniture, article = stack.pop()
-            state["furniture"] -= furniture
-            state["article"] = article
+            tag, state["furniture"], state["article"] = stack.pop()
             if tag == "a":
                 state["link"] -= 1
 
@@ -136,9 +138,11 @@ def lines_of(page: str) -> list[Line]:
             continue
         if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option"):
             _imply_end(stack, tag, close)
-        furniture = _marks(tag, m[4], bool(state["article"]))
-        stack.append((tag, furniture, state["article"]))
-        state["furniture"] += furniture
+        mark = _marks(tag, m[4], bool(state["article"]))
+        stack.append((tag, state["furniture"], state["article"]))
+        if tag in ("article", "main") and not mark and not state["article"] and state["furniture"] == 1:
+            state["furniture"] = 0  # a wrapper's name does not make its article furniture
+        state["furniture"] = max(state["furniture"], mark)
         if tag in ("article", "main") and not state["furniture"]:
             state["articles"] += 1
             state["article"] = state["articles"] if not state["article"] else state["article"]

@@ -55,6 +55,8 @@ def test_main_text():
     assert main_text(PAGE) == "Head & tail\nOne linked text.\nTwo\nlines\nEnd."
     plain = '<div class="menu"><a href="/">Home</a></div><div class=content><h2>Title</h2><p>Some long text here that counts.</p><p>More</p></div><div class=footer>x</div>'
     assert main_text(plain) == "Title\nSome long text here that counts.\nMore"
+    assert main_text('<div class="page nav-open"><article><p>Kept.</p></article></div>') == "Kept."
+    assert main_text('<main><p>Text.</p></main><div id="comments"><article><p>Nice</p></article></div>') == "Text."
     assert main_text("") == "" and main_text("a < b &lt;i&gt; &#233;") == "a < b <i> é"
     assert main_text("<p>cut <script>never closed <p>x") == "cut"
 
