@@ -80,3 +80,25 @@ def integrity_errors(artifacts: DataFrame, recorded: DataFrame) -> DataFrame:
     r = recorded.select("path", F.col("bytes").alias("rb"), F.col("sha256").alias("rs"))
     problem = F.when(F.col("s").isNull(), "missing").when(F.col("rs").isNull(), "not recorded").when(F.col("b") != F.col("rb"), "size").when(F.col("s") != F.col("rs"), "sha256")
     return a.join(r, "path", "full").select("path", problem.alias("problem")).where("problem is not null")
+
+
+def overlay_errors(base: DataFrame, overlay: DataFrame, published: DataFrame, removed: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
+    """A published edition held against what its overlay gives again: ``layer, problem, key``.
+
+    Layers: citations that two overlay rows claim, sections of the consolidation that are
+    missing or unexpected, and the same for the published patch's removals and documents.
+    """
+    from lexweave.operators import versions
+
+    key = F.concat_ws("/", *(F.col(k).cast("string") for k in keys))
+    claimed = versions.claimed_twice(base, overlay).select(F.lit("claims").alias("layer"), F.lit("claimed twice").alias("problem"), F.concat_ws("/", "chapter_id", "c").alias("key"))
+    derived = versions.apply_overlay(base, overlay).select(*base.columns)
+    gone, new = versions.derive_patch(base, derived, keys)
+    out = claimed
+    for layer, expected, actual in (
+        ("sections", derived, published.select(*base.columns)),
+        ("patch removals", gone, removed.select(*gone.columns)),
+        ("patch documents", new, added.select(*new.columns)),
+    ):
+        out = out.unionByName(set_difference(expected, actual).select(F.lit(layer).alias("layer"), "problem", key.alias("key")))
+    return out
