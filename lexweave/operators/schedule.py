@@ -165,10 +165,3 @@ def fee_rules(words: DataFrame) -> DataFrame:
     g = g.select("source", "nth", F.get("x", F.lit(0))["statute"].alias("authority"), *map(said, names), F.array_distinct(F.transform(filled, lambda y: y["page"])).alias("pages"))
     return g.withColumns({"section_key": F.lower(F.regexp_extract("authority", f"(?i)^{CITATION}", 0)), "affected": references(F.col("affected_text"))})
 
-
-def nested_links(links: DataFrame) -> DataFrame:
-    """``title_number, by_citation``: for each citation of a title its lists of infractions, fee
-    rules and index entries. ``links`` has ``title_number, citation, kind, target, position``."""
-    lists = [F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("position", "target")))), lambda x: x["target"]).alias(n) for k, n in (("infraction", "infractions"), ("fee", "feeRules"), ("index", "index"))]
-    per = links.groupBy("title_number", "citation").agg(*lists)
-    return per.groupBy("title_number").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("citation", F.to_json(F.struct("infractions", "feeRules", "index")).alias("links"))))).alias("by_citation"))

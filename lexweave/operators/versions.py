@@ -73,7 +73,9 @@ def hash_diff(before: DataFrame, after: DataFrame, samples: int = 50) -> DataFra
     )
     change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(~F.col("bc").eqNullSafe(F.col("ac")), "changed").when(~F.col("br").eqNullSafe(F.col("ar")), "resolution")
     d = both.select("id", change.alias("change")).where(F.col("change").isNotNull())
-    return d.withColumn("sample", F.row_number().over(Window.partitionBy("change").orderBy("id")) <= samples)
+    # few rows per kind, so the limit is taken before the shuffle and the join is a broadcast
+    first = d.withColumn("nth", F.row_number().over(Window.partitionBy("change").orderBy("id"))).where(F.col("nth") <= samples)
+    return d.join(F.broadcast(first.select("id", F.lit(True).alias("sample"))), "id", "left").select("id", "change", F.coalesce("sample", F.lit(False)).alias("sample"))
 
 
 # overlays ---------------------------------------------------------------------------------
