@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: x of the gutter between the two columns of an index page; width of one indent level.
-GUTTER, INDENT = 295.0, 9.0
+# X of the gutter between the two columns of an index page, where the columns
+# begin, and the width of one indent level.
+GUTTER, BASES, INDENT = 295.0, (123.0, 312.0), 9.0
 
 
 def visual_lines(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
@@ -28,14 +27,14 @@ def visual_lines(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
     return words.groupBy("page").applyInPandas(run, "page int, line int, x0 double, text string")
 
 
-def column_lines(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """Reading order of two-column pages with an indent level per line (never below 0)."""
+def column_lines(words: DataFrame, tolerance: float = 2.5, bases: tuple[float, float] = BASES) -> DataFrame:
+    """Reading order of two-column pages with an indent level per line (never below 0), counted
+    from where the column's text begins."""
     d = words.withColumn("col", F.when(F.col("x0") < GUTTER, 0).otherwise(1))
     lines = visual_lines(d.withColumn("page", F.col("page") * 2 + F.col("col")), tolerance)
     lines = lines.withColumns({"col": F.pmod("page", F.lit(2)), "page": F.floor(F.col("page") / 2).cast("int")})
-    base = lines.groupBy("page", "col").agg(F.min("x0").alias("base"))
-    d = lines.join(base, ["page", "col"])
-    return d.select("page", "col", "line", "text", F.greatest(F.lit(0), F.rint((F.col("x0") - F.col("base")) / INDENT)).cast("int").alias("level"))
+    base = F.when(F.col("col") == 0, bases[0]).otherwise(bases[1])
+    return lines.select("page", "col", "line", "text", F.greatest(F.lit(0), F.rint((F.col("x0") - base) / INDENT)).cast("int").alias("level"))
 
 
 def nearest_center(x: Column, centers: Column) -> Column:
@@ -49,44 +48,3 @@ def carry_category(lines: DataFrame, is_category: Column, *order: str) -> DataFr
 
     w = Window.partitionBy("page").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("category", F.last(F.when(is_category, F.col("text")), ignorenulls=True).over(w)).where(~is_category)
-
-
-# Fixed value: the shape of a statute reference at the end of an index entry.
-REFERENCE = r"\d+[a-z]*-\d+[a-z]*(?:\([a-z0-9]+\))*"
-
-
-def split_references(text: str | None) -> tuple[str, list[str]]:
-    """An entry's words and the references that trail them."""
-    words, refs = (text or "").rstrip(" .").split(), []
-    while words and re.fullmatch(REFERENCE + ",?", words[-1]):
-        refs.append(words.pop().rstrip(","))
-    return " ".join(words).rstrip(","), refs[::-1]
-
-
-def split_see(text: str | None) -> list[dict]:
-    """``See X, at Y; Z, this heading`` as targets ``heading, subheading``."""
-    m = re.match(r"(?i)^see(?: also)?\s+(.*?)\.?$", (text or "").strip())
-    out = []
-    for part in m[1].split(";") if m else ():
-        here = re.fullmatch(r"(.*?),?\s*this heading", part.strip(), re.I)
-        head, _, sub = part.strip().partition(", at ")
-        out.append({"heading": None, "subheading": here[1].strip()} if here else {"heading": head.strip(), "subheading": sub.strip() or None})
-    return out
-
-
-def index_entries(lines: DataFrame) -> DataFrame:
-    """Index lines (``page, line, level, text``) as entries with references and SEE targets; a
-    line of capitals at level 0 starts a topic."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        topic, n, rows = None, 0, []
-        for r in page.sort_values("line", kind="stable").itertuples():
-            if r.level == 0 and r.text.isupper():
-                topic, n = r.text, 0
-                continue
-            words, refs = split_references(r.text)
-            rows.append((r.page, topic, n, int(r.level), words, refs, [x["heading"] or "" for x in split_see(r.text)]))
-            n += 1
-        return pd.DataFrame(rows, columns=["page", "topic", "ordinal", "level", "text", "refs", "see"])
-
-    return lines.groupBy("page").applyInPandas(run, "page int, topic string, ordinal int, level int, text string, refs array<string>, see array<string>")

@@ -457,7 +457,7 @@ def visual_lines(spark, d):
 @q("""WITH w AS (SELECT doc_id AS page, unnest(range(len(x))) AS i, unnest(x) AS t FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS x FROM documents))
 SELECT CAST(page AS INT) AS page, CAST(i // 4 % 2 AS INT) AS col, CAST(i // 8 AS INT) AS line, string_agg(t, ' ' ORDER BY i) AS text, 0 AS level FROM w GROUP BY page, i // 4 % 2, i // 8""")
 def column_lines(spark, d):
-    return folds.column_lines(_words(spark, d)).select("page", F.col("col").cast("int").alias("col"), "line", "text", "level")
+    return folds.column_lines(_words(spark, d), bases=(20.0, 320.0)).select("page", F.col("col").cast("int").alias("col"), "line", "text", "level")
 
 
 @q("SELECT p_partkey, CASE WHEN abs(p_size - 10) <= abs(p_size - 25) AND abs(p_size - 10) <= abs(p_size - 40) THEN 0 WHEN abs(p_size - 25) <= abs(p_size - 40) THEN 1 ELSE 2 END AS col FROM part")

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from lexweave.operators import jsonschema, schedule, validate, versions
+from lexweave.operators import indexfold, jsonschema, schedule, validate, versions
 from lexweave.plans.version_queries import overlay_tables
 from lexweave.sources import crawl, imports
 from lexweave.sources.html import parse_pages
@@ -119,6 +119,22 @@ def fee_rules(spark, d):
     return r.select("source", "authority", F.regexp_replace("description", r"- (\d)", "-$1").alias("description"), "display", "section_key")
 
 
+# Index: 40 sources; a part is a heading (often one that an earlier part has opened) with two
+# entries, the second on two lines.
+@q("index_fold", """WITH p AS (SELECT CAST(p_partkey % 40 AS VARCHAR) AS source, upper(p_type) AS heading, p_partkey AS n, row_number() OVER (PARTITION BY p_partkey % 40, upper(p_type) ORDER BY p_partkey) - 1 AS k FROM part)
+SELECT source, heading, CAST(2 * k AS INT) AS ordinal, 0 AS level, 'Fees' AS text, '15-' || n AS refs, '' AS see FROM p
+UNION ALL SELECT source, heading, CAST(2 * k + 1 AS INT), 1, 'annual of vessels. See SHIPS, at ' || lower(heading), '', 'SHIPS|' || lower(heading) FROM p""")
+def index_fold(spark, d):
+    n = F.col("p_partkey")
+    at = lambda k, level, text: F.struct((n * 10 + k).alias("seq"), F.lit(level).alias("level"), text.alias("text"))
+    lines = F.array(at(0, 0, F.upper("p_type")), at(1, 0, F.concat(F.lit("Fees, 15-"), n, F.lit("."))), at(2, 1, F.lit("annual of ves-")), at(3, 3, F.concat(F.lit("sels. See SHIPS, at "), F.lower("p_type"), F.lit("."))))
+    e = indexfold.index_entries(table(spark, d, "part").select((n % 40).cast("string").alias("source"), F.inline(lines)))
+    return e.select(
+        "source", "heading", "ordinal", "level", F.regexp_replace("text", r"\.$", "").alias("text"), F.array_join(F.transform("refs", lambda x: x["display"]), ",").alias("refs"),
+        F.array_join(F.transform("see", lambda x: F.concat_ws("|", x["heading"], x["subheading"])), ",").alias("see"),
+    )
+
+
 _ORDER_SCHEMA = json.dumps({
     "type": "object", "required": ["key", "items"], "additionalProperties": False,
     "properties": {"key": {"type": "integer", "minimum": 1}, "status": {"enum": ["F", "O"]}, "items": {"type": "array", "items": {"$ref": "#/definitions/item"}}},
