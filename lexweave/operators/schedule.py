@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import clean_citation
+from lexweave.functions.text import clean_citation, stable_id, to_cents
 from lexweave.operators.folds import nearest_center
+from lexweave.operators.links import resolve
 
 # The printed layout and its patterns.
 STATUTE = r"^(\d+[a-z]{0,2}-\d+[a-z]{0,3})\S*$"
@@ -21,6 +22,7 @@ AMOUNT = r"^\d{1,3}(?:,\d{3})*\.\d{2}$"
 CITATION = r"\d+[a-z]{0,3}-\d+[a-z]{0,3}"
 COLUMNS = ("total_due", "fine", "fee", "z_fee", "cost", "surcharge", "stf", "bipsa", "mf", "plus")
 CENTERS = (452, 479, 516, 549, 590, 631, 664, 701, 733, 760)
+HEADS = ("DUE", "FINE", "FEE", "FEE", "COST", "CHARGE", "STF", "BIPSA", "MF", "PLUS")
 AMOUNT_X, ROW_X, CATEGORY_X = 410, 60, 40
 RULE_X, RULE_TOP, RULE_BOTTOM = (100, 265, 570), 135, 550
 
@@ -89,10 +91,23 @@ def line_rows(words: DataFrame) -> DataFrame:
     return g.select("source", "page", "line", "words", said(F.col("words")).alias("text"), left.alias("left"), right.alias("right"))
 
 
+def head_centers(words: Column) -> Column:
+    """Centers of the amount columns from a line of column heads; null if the line lacks one.
+
+    The heads are sought in their order, each after the one before it.
+    """
+    heads = F.array(*map(F.lit, HEADS))
+    start = F.array().cast("array<double>")
+    found = F.aggregate(words, start, lambda s, w: F.when(w["text"] == F.get(heads, F.size(s)), F.concat(s, F.array((w["x0"] + w["x1"]) / 2))).otherwise(s))
+    names = F.transform(words, lambda w: w["text"])
+    return F.when(F.array_contains(names, "STAT") & F.array_contains(names, "FINE") & (F.size(found) == len(HEADS)), found)
+
+
 def schedule_rows(words: DataFrame, centers: tuple[float, ...] = CENTERS) -> DataFrame:
     """Rows of a printed schedule, one per citation, in order (``source, nth``).
 
-    Heads, page numbers and what follows the alphabetical listing are no rows; a line of
+    A page's own column heads say where its amounts stand, else ``centers``. Heads, page
+    numbers and what follows the alphabetical listing or the start of chart B are no rows; a line of
     capitals at the margin is the category of the rows after it; other lines belong to the row
     above. A star on the citation marks later offenses.
     """
@@ -102,7 +117,9 @@ def schedule_rows(words: DataFrame, centers: tuple[float, ...] = CENTERS) -> Dat
     first = F.get("words", F.lit(0))
     qualifier = r"\s*-\s*Numerical Order\s*$"
     letters = F.regexp_replace(F.regexp_replace("text", qualifier, ""), "[^A-Za-z]", "")
-    d = d.withColumn("ended", F.max(F.col("text").rlike(r"-\s*Alphabetical Order\s*$").cast("int")).over(upto)).where("ended = 0")
+    chart = (F.col("line") < 2) & (first["text"] == "CHART") & F.exists("words", lambda w: w["text"] == "B")
+    ended = F.col("text").rlike(r"-\s*Alphabetical Order\s*$") | chart
+    d = d.withColumns({"ended": F.max(ended.cast("int")).over(upto), "spots": F.min_by(head_centers(F.col("words")), F.when(head_centers(F.col("words")).isNotNull(), F.col("line"))).over(Window.partitionBy("source", "page"))}).where("ended = 0")
     skip = F.col("text").rlike("^(?:TOTAL|STAT NO|INFRACTIONS/VIOLATIONS)") | ((F.size("words") == 1) & F.col("text").rlike(r"^\d{1,3}$"))
     d = d.where(~skip).withColumns(
         {
@@ -121,15 +138,15 @@ def schedule_rows(words: DataFrame, centers: tuple[float, ...] = CENTERS) -> Dat
     ).where(~F.col("heads"))
     open_ = Window.partitionBy("source", "block")
     d = d.withColumn("open", F.max(F.col("starts")).over(open_)).where("open")
+    spots = F.coalesce("spots", F.array(*(F.lit(float(c)) for c in centers)))
     said = F.when(F.col("starts"), F.slice("left", 2, F.greatest(F.size("left"), F.lit(1)))).otherwise(F.col("left"))
     line = F.struct(
         "page", "line", F.array_join(F.transform(said, lambda w: w["text"]), " ").alias("said"), F.when(F.col("starts"), first["text"]).alias("stat_no"),
-        F.transform("right", lambda w: F.struct(w["text"].alias("text"), ((w["x0"] + w["x1"]) / 2).alias("x"))).alias("right"), F.col("category").alias("category"),
+        F.transform("right", lambda w: F.struct(w["text"].alias("text"), nearest_center((w["x0"] + w["x1"]) / 2, spots).alias("col"))).alias("right"), F.col("category").alias("category"),
     )
     g = d.groupBy("source", "nth").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     head, right = F.get("lines", F.lit(0)), F.flatten(F.transform("lines", lambda x: x["right"]))
-    spots = F.array(*(F.lit(float(c)) for c in centers))
-    paid = F.transform(F.filter(right, lambda w: w["text"].rlike(AMOUNT)), lambda w: F.struct(nearest_center(w["x"], spots).alias("col"), F.replace(w["text"], F.lit(",")).cast("decimal(12,2)").alias("value")))
+    paid = F.transform(F.filter(right, lambda w: w["text"].rlike(AMOUNT)), lambda w: F.struct(w["col"], F.replace(w["text"], F.lit(",")).cast("decimal(12,2)").alias("value")))
     g = g.withColumns({"paid": paid, "stat_no": head["stat_no"], "raw": join_text(F.transform("lines", lambda x: x["said"]))})
     amount = lambda i: F.get(F.filter("paid", lambda p: p["col"] == i), F.lit(0))["value"]
     act = F.regexp_extract("stat_no", PUBLIC_ACT, 1)
@@ -144,6 +161,26 @@ def schedule_rows(words: DataFrame, centers: tuple[float, ...] = CENTERS) -> Dat
     )
 
 
+def chart_b(words: DataFrame) -> DataFrame:
+    """Words of the pages from the first that is headed CHART B, with the table's ``revision``
+    (the last that a head names). ``words`` needs ``top``."""
+    head = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))), 1, 30), lambda w: w["text"]), " ")
+    pages = words.groupBy("source", "page").agg(head.alias("head")).where(F.contains("head", F.lit("CHART B")))
+    named = F.nullif(F.trim(F.regexp_extract("head", r"(?i)Rev\.\s*([^)]*)", 1)), F.lit(""))
+    start = pages.groupBy("source").agg(F.min("page").alias("start"), F.max_by(named, F.when(named.isNotNull(), F.col("page"))).alias("revision"))
+    return words.join(start, "source").where(F.col("page") >= F.col("start")).drop("start")
+
+
+def canonical_rows(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Schedule rows with stable id, amounts in cents and what their citation resolves to."""
+    d = resolve(rows, places, "section_key", "citation")
+    cents = F.struct(*(to_cents(F.col(f"amounts.{n}")).alias(n) for n in sorted(COLUMNS)))
+    return d.select(
+        stable_id(F.lit("infraction"), F.col("stat_no"), F.col("description")).alias("id"), F.col("stat_no").alias("printedCitation"), "citation", F.col("section_key").alias("sectionCitation"),
+        "description", "category", "subsequent", "page", cents.alias("amounts"), "note", "status", "to_title_number", "to_chapter_number", "to_id",
+    )
+
+
 def fee_rules(words: DataFrame) -> DataFrame:
     """Rules of the fee table, whose columns run over pages: ``source, nth, authority, ...``.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +73,25 @@ def publish(df: DataFrame, root: str, validate=None) -> str:
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The generation that the pointer names."""
     return spark.read.parquet(spark.read.schema("path string").json(f"{root.rstrip('/')}/current").first()["path"])
+
+
+def latest_edition(editions: DataFrame, year: str = "year") -> DataFrame:
+    """Rows of the newest edition; ``year`` is a partition column, so one folder is read."""
+    newest = editions.select(F.max(year)).first()[0]
+    return editions.where(F.col(year) == newest)
+
+
+def with_patch(base: DataFrame, read_patch: Callable[[], tuple[DataFrame, DataFrame]], keys: list[str]) -> tuple[DataFrame, bool]:
+    """The patched documents, or the base alone and True if the patch cannot be read.
+
+    A patch is read through (its removals are small) before the plan is built on it, so that a
+    missing or broken one degrades the search and does not fail it.
+    """
+    from lexweave.operators.versions import apply_patch
+
+    try:
+        removed, added = read_patch()
+        removed.count(), added.count()
+    except Exception:  # noqa: BLE001 - whatever is wrong with the patch, the base stands
+        return base, True
+    return apply_patch(base, removed, added, keys), False

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions.text import dedupe_consecutive
+
 _BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li td th tr table ul ol article section header footer nav title br body head blockquote pre".split())
 
 
@@ -96,4 +98,5 @@ def anchored_sections(rows: DataFrame) -> DataFrame:
         part = F.when(F.col("css").rlike(f"(^| )({pattern})( |$)"), name).otherwise(part)
     d = rows.where("kind = 'block' and anchor <> ''").withColumn("part", part)
     cols = [F.transform(F.sort_array(F.collect_list(F.when(F.col("part") == p, F.struct("ordinal", "text")))), lambda y: y["text"]).alias(p) for p in ("body", *PARTS)]
-    return d.groupBy("key", "anchor").agg(F.min("ordinal").alias("first"), *cols)
+    g = d.groupBy("key", "anchor").agg(F.min("ordinal").alias("first"), *cols)
+    return g.withColumns({p: dedupe_consecutive(F.col(p)) for p in ("body", *PARTS)})  # a repeat right after a text is a parsing artefact

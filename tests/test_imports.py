@@ -105,6 +105,33 @@ def test_fee_rules(spark):
     assert [(r.display, r.section_key) for r in a.affected] == [("14-219(a)", "14-219"), ("1-1", "1-1")] and (b.authority, b.pages) == ("4-28k", [2])
 
 
+def test_column_heads_and_chart_b(spark):
+    heads = ["DUE", "FINE", "FEE", "FEE", "COST", "CHARGE", "STF", "BIPSA", "MF", "PLUS"]
+    lines = [
+        (1, 0, [(30, "STAT"), (60, "NO"), *((500 + 20 * i, h) for i, h in enumerate(heads))]), (1, 1, [(30, "1-1"), (120, "Act"), (520, "5.00")]),
+        (2, 0, [(30, "1-2"), (120, "Act"), (474, "6.00")]), (3, 0, [(20, "CHART"), (60, "B"), (80, "(Rev."), (100, "10/2025)")]), (3, 1, [(30, "1-3"), (120, "Rule")]),
+    ]
+    words = _boxes(spark, lines)
+    rows = schedule.schedule_rows(words)
+    assert [(r.citation, float(r.amounts.fine)) for r in rows.orderBy("nth").collect()] == [("1-1", 5), ("1-2", 6)]
+    chart = schedule.chart_b(words)
+    assert {(r.page, r.revision) for r in chart.collect()} == {(3, "10/2025")}
+    assert [(r.authority, r.description) for r in schedule.fee_rules(chart).collect()] == [("1-3", "Rule")]
+    places = spark.createDataFrame([("1-1", "1", "c", "s")], "key string, title_number string, chapter_number string, id string")
+    found = schedule.canonical_rows(rows, places).orderBy("citation").collect()
+    assert [(r.status, r.to_id, r.amounts.fine) for r in found] == [("exact", "s", 500), ("unresolved", None, 600)]
+
+
+def test_editions_and_patches(spark, tmp_path):
+    spark.createDataFrame([(2025, "a"), (2026, "b")], "year int, id string").write.partitionBy("year").parquet(str(tmp_path / "e"))
+    assert [r.id for r in artifacts.latest_edition(spark.read.parquet(str(tmp_path / "e"))).collect()] == ["b"]
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    patched, degraded = artifacts.with_patch(base, lambda: (base.where("n = 1").select("id"), base.where("n = 2").withColumn("id", F.lit("c"))), ["id"])
+    assert sorted(r.id for r in patched.collect()) == ["b", "c"] and not degraded
+    same, degraded = artifacts.with_patch(base, lambda: (spark.read.parquet(str(tmp_path / "none")), base), ["id"])
+    assert degraded and same.count() == 2
+
+
 def test_documents_against_a_schema(spark):
     schema = json.dumps({
         "type": "object", "required": ["id", "sections"], "additionalProperties": False,

@@ -173,6 +173,7 @@ def test_validation(spark):
 def test_folds(spark):
     w = spark.createDataFrame([(1, "b", 50.0, 10.5), (1, "a", 20.0, 10.0), (1, "late", 20.0, 12.4), (1, "right", 300.0, 10.0)], "page int, text string, x0 double, top double")
     assert [r.text for r in folds.visual_lines(w).orderBy("line").collect()] == ["a b right", "late"]
-    assert [(r.col, r.text) for r in folds.column_lines(w).orderBy("col", "line").collect()] == [(0, "a b"), (0, "late"), (1, "right")]
-    assert folds.split_references("Fees, 1-2, 3-4a(b)") == ("Fees", ["1-2", "3-4a(b)"])
-    assert folds.split_see("See TAXES, at Income; Sales, this heading.") == [{"heading": "TAXES", "subheading": "Income"}, {"heading": None, "subheading": "Sales"}]
+    assert [(r.col, r.text) for r in folds.column_lines(w, 2.0).orderBy("col", "line").collect()] == [(0, "a b"), (0, "late"), (1, "right")]
+    assert [(r.col, r.text) for r in folds.column_lines(w).orderBy("col", "line").collect()] == [(0, "a late b"), (1, "right")]
+    levels = spark.createDataFrame([(1, "x", 123.0, 1.0), (1, "y", 141.5, 9.0), (1, "z", 330.0, 1.0)], "page int, text string, x0 double, top double")
+    assert [(r.text, r.level) for r in folds.column_lines(levels).orderBy("col", "line").collect()] == [("x", 0), ("y", 2), ("z", 2)]
