@@ -393,14 +393,24 @@ def html_blocks(spark, d):
     return parse_pages(table(spark, d, "pages")).where("kind = 'block'").select("key", "ordinal", "tag", "text")
 
 
-@q()
+@q("""WITH l AS (SELECT page_id, unnest(u) AS url, unnest(t) AS text, unnest(range(len(u))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS u, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages))
+SELECT page_id AS key, string_split(url, '#')[1] AS url, string_agg(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ' ORDER BY i) AS text FROM l GROUP BY 1, 2""")
 def html_merged_links(spark, d):
-    return merged_links(parse_pages(table(spark, d, "pages")))
+    return merged_links(parse_pages(table(spark, d, "pages"))).select("key", "url", "text")
 
 
-@q()
+# Provisions: an order's page has two anchors with the parts that a chapter page has.
+@q("""SELECT o_orderkey AS key, 'sec_' || o_custkey AS anchor, 'Sec. ' || o_custkey || '. ' || o_orderstatus || '|a & b' AS body, CASE WHEN o_orderkey % 2 = 0 THEN '(P.A. ' || o_orderkey || ')' ELSE '' END AS source, 'first|second' AS history, '' AS annotation FROM orders
+UNION ALL SELECT o_orderkey, 'sec_next', 'Next', '', '', 'note' FROM orders""")
 def html_sections(spark, d):
-    return anchored_sections(parse_pages(table(spark, d, "pages")))
+    o = table(spark, d, "orders")
+    html = F.concat(
+        F.lit('<h1>Chapter</h1><p><a name="sec_'), F.col("o_custkey"), F.lit('">Sec. '), F.col("o_custkey"), F.lit(". "), F.col("o_orderstatus"), F.lit("</a></p><p>a &amp; b</p><p>a &amp; b</p>"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('<p class="source-first">(P.A. '), F.col("o_orderkey"), F.lit(")</p>"))).otherwise(""),
+        F.lit('<p class="history-first">first</p><p class="history">second</p><p><a name="sec_next">Next</a></p><p class="annotation">note</p>'),
+    )
+    found = anchored_sections(parse_pages(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))))
+    return found.select("key", "anchor", *(F.array_join(c, "|").alias(c) for c in ("body", "source", "history", "annotation")))
 
 
 @q("SELECT count(DISTINCT sha256(html)) AS blobs, count(*) AS urls FROM pages")
@@ -426,10 +436,12 @@ def sitemap(spark, d):
 @q("SELECT lang || '.json' AS path, count(*) AS items FROM documents GROUP BY lang")
 def json_shards(spark, d):
     s = artifacts.json_shards(table(spark, d, "documents").select("lang", "doc_id", "source", "n_chars"), "lang", "doc_id")
-    return s.select("path", F.size(F.from_json("body", "struct<items:array<struct<doc_id:bigint>>>")["items"]).cast("bigint").alias("items"))
+    n = F.size(F.from_json("body", "struct<items:array<struct<doc_id:bigint>>>")["items"]).cast("bigint")
+    return s.groupBy(F.regexp_replace("path", r"-\d+\.json$", ".json").alias("path")).agg(F.sum(n).alias("items"))
 
 
-@q()
+@q("""WITH a AS (SELECT path, sha256 FROM (@HASHES)), x AS (SELECT substr(sha256, 1, 4) AS p, sha256(string_agg(path || ' ' || sha256, chr(10) ORDER BY path || ' ' || sha256)) AS h FROM a GROUP BY 1),
+ y AS (SELECT substr(p, 1, 2) AS q, sha256(string_agg(p || ' ' || h, chr(10) ORDER BY p)) AS h FROM x GROUP BY 1) SELECT substr(sha256(string_agg(q || ' ' || h, chr(10) ORDER BY q)), 1, 12) AS fingerprint FROM y""".replace("@HASHES", ORACLE["artifact_hashes"]))
 def build_fingerprint(spark, d):
     return artifacts.fingerprint(artifact_hashes(spark, d))
 

@@ -44,17 +44,26 @@ def is_pdf(content: Column) -> Column:
     return F.startswith(content, F.lit(b"%PDF-").cast("binary"))
 
 
-def json_shards(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One JSON document per key: ``path, body`` with items in order, nulls kept."""
+def json_shards(rows: DataFrame, key: str, order: str, limit: int = 100_000) -> DataFrame:
+    """JSON documents per key: ``path, body`` with items in order, nulls kept.
+
+    A key of more than ``limit`` rows is spread over as many documents as that takes, named
+    ``key-0.json`` on, so that no task builds a document of a whole hot key.
+    """
+    parts = rows.groupBy(key).agg(F.ceil(F.count("*") / limit).cast("int").alias("__parts"))
+    d = rows.join(parts, rows[key].eqNullSafe(parts[key])).drop(parts[key]).withColumn("__part", F.pmod(F.xxhash64(order), F.col("__parts").cast("long")))
     items = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("__o"), F.struct(*(c for c in rows.columns if c != key)).alias("item")))), lambda x: x["item"])
-    return rows.groupBy(key).agg(items.alias("items")).select(F.concat(F.col(key).cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct(F.col(key), F.col("items")), {"ignoreNullFields": "false"}).alias("body"))
+    name = F.concat(F.col(key).cast("string"), F.when(F.col("__parts") > 1, F.concat(F.lit("-"), F.col("__part").cast("string"))).otherwise(""), F.lit(".json"))
+    return d.groupBy(key, "__parts", "__part").agg(items.alias("items")).select(name.alias("path"), F.to_json(F.struct(F.col(key), F.col("items")), {"ignoreNullFields": "false"}).alias("body"))
 
 
 def fingerprint(artifacts: DataFrame) -> DataFrame:
-    """12 hex digits over the sorted (path, sha256) pairs: digests of digests by first letters,
-    so that no list of all paths is built in one task."""
-    parts = artifacts.groupBy(F.substring("sha256", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "path", "sha256"))), "\n"), 256).alias("h"))
-    return parts.agg(F.substring(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256), 1, 12).alias("fingerprint"))
+    """12 hex digits over the sorted (path, sha256) pairs: digests of digests by the first four
+    and two letters, so that no list of all paths is built in one task."""
+    joined = lambda c, sep: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), sep), 256)
+    d = artifacts.groupBy(F.substring("sha256", 1, 4).alias("p")).agg(joined(F.concat_ws(" ", "path", "sha256"), "\n").alias("h"))
+    d = d.groupBy(F.substring("p", 1, 2).alias("q")).agg(joined(F.concat_ws(" ", "p", "h"), "\n").alias("h"))
+    return d.agg(F.substring(joined(F.concat_ws(" ", "q", "h"), "\n"), 1, 12).alias("fingerprint"))
 
 
 def publish(df: DataFrame, root: str, validate=None) -> str:

@@ -160,3 +160,11 @@ def test_published_editions(spark):
     assert validate.overlay_errors(base, overlay, current, removed, added, keys).isEmpty()
     bad = validate.overlay_errors(base, overlay.unionByName(overlay.withColumn("id", F.lit("m"))), current, removed, added, keys)
     assert {(r.layer, r.problem) for r in bad.collect()} == {("claims", "claimed twice"), ("sections", "missing"), ("patch documents", "missing")}
+
+
+def test_hot_shards_are_spread(spark):
+    rows = spark.range(250).selectExpr("CASE WHEN id < 240 THEN 'hot' WHEN id < 245 THEN NULL ELSE 'cold' END AS k", "id", "CAST(NULL AS STRING) AS empty")
+    shards = artifacts.json_shards(rows, "k", "id", limit=100).collect()
+    hot = [json.loads(r.body)["items"] for r in shards if (r.path or "").startswith("hot-")]
+    assert len(hot) == 3 and sorted(x["id"] for h in hot for x in h) == list(range(240)) and all(h == sorted(h, key=lambda x: x["id"]) for h in hot)
+    assert hot[0][0]["empty"] is None and sum(r.path == "cold.json" for r in shards) == 1 and len(shards) == 5
