@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,16 +68,25 @@ def html_rows(html: str | None) -> list[dict]:
     return [{**r, "ordinal": i} for i, r in enumerate(parser.rows)]
 
 
+_NAMES = ("kind", "tag", "css", "anchor", "text", "href")
+_ARROW = pa.schema([("key", pa.int64()), *((n, pa.string()) for n in _NAMES), ("ordinal", pa.int32())])
+
+
 def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per block or link of each page, in order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{"key": k, **r} for k, h in zip(b["key"], b["html"], strict=True) for r in html_rows(h)]
-            yield pd.DataFrame(rows, columns=["key", "kind", "tag", "css", "anchor", "text", "href", "ordinal"])
+            columns: dict[str, list] = {n: [] for n in _ARROW.names}
+            for k, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = html_rows(page)
+                columns["key"] += [k] * len(found)
+                for n in (*_NAMES, "ordinal"):
+                    columns[n] += [r[n] for r in found]
+            yield pa.RecordBatch.from_pydict(columns, schema=_ARROW)
 
     schema = "key bigint, kind string, tag string, css string, anchor string, text string, href string, ordinal int"
-    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, schema)
+    return pages.select(F.col(key).cast("long").alias("key"), F.col(html).alias("html")).mapInArrow(run, schema)
 
 
 def merged_links(rows: DataFrame) -> DataFrame:
