@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.llm import shingles
 from lexweave.llm.common import BATCH_ROWS, checkpointed, text_bytes
 from lexweave.llm.graph import connected_components
 
@@ -191,19 +192,22 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: that with the least doc_id.
+def keep_one(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """``docs`` with one row of each component of texts whose ``width``-word shingles have a
+    Jaccard similarity of ``least`` or more: that with the least doc_id.
 
-    A component without any doc_id keeps the row with the least text.
+    The links are those of ``shingles``, not fingerprints within a few bits: near copies at 0.8
+    differ in more bits than blocks can find. A component without any doc_id keeps the row with
+    the least text.
     """
-    found = components(docs.select("doc_id", "text"), max_bits)
+    found = shingles.components(docs.select("doc_id", "text"), least, width)
     best = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__near_id")).distinct()
     named = docs.join(best, F.col("doc_id") == F.col("__near_id"), "left_semi").dropDuplicates(["doc_id"])
     bare = found.where("component_id is null").groupBy("fp").count().limit(1)
     if bare.isEmpty():
         return named
     unnamed = docs.where("doc_id is null")
-    keys = components(unnamed.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), max_bits)
+    keys = shingles.components(unnamed.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), least, width)
     lone = found.where("component_id is null").select("fp").distinct()
     heads = keys.join(lone, "fp", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias("__near_id")).distinct()
     rest = unnamed.withColumn("__near_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
