@@ -43,6 +43,14 @@ HEADER_NAMES = frozenset(["header", "masthead"])
 #: Names of reader comments; what looks like an article inside is a comment.
 COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 
+#: Words that a name of several words may have beside one of ``NAMES``.
+PLACES = frozenset(
+    "area article bar block body bottom box button buttons center col column container desktop entry fixed float global group heading holder inline inner item items left link links list "
+    "main mobile module outer page panel post primary right row secondary section site slot sticky text title top unit wrap wrapper zone".split()
+)
+#: Characters outside links from which an element that holds most of a page's text is no furniture by its name.
+LEAST_TEXT = 250
+
 _ATTR = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:" + _ATTR + r")>.*?(?:</\1\s*[^>]*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:" + _ATTR + r"|[^<>]*))>|<[!?][^>]*>",
@@ -60,6 +68,7 @@ class Line:
     linked: int
     furniture: bool
     article: int
+    named: tuple = ()
 
 
 def _marks(tag: str, attrs: str, in_article: bool) -> int:
@@ -79,12 +88,12 @@ def _marks(tag: str, attrs: str, in_article: bool) -> int:
         elif name == "role":
             if value in ROLES:
                 return 2
-        elif tag not in ("main", "a", "span", "em", "strong", "b", "i", "code") or name == "id":
+        elif not re.fullmatch("h[1-6]", tag) and (tag not in ("main", "a", "span", "em", "strong", "b", "i", "code") or name == "id"):
             for token in value.split():
                 words = _WORD.findall(token)
-                if words and words[0] in ("has", "no", "with", "without", "is"):
-                    continue
                 hit = [w for w in words if w in NAMES]
+                if len(hit) < len(words) and not all(w in NAMES or w in PLACES for w in words):
+                    continue  # 'overflow-hidden' and 'social-impact' only contain such a word
                 if hit and not (in_article and set(hit) <= HEADER_NAMES):
                     return 2 if set(hit) & COMMENT_NAMES else 1
     return 0
@@ -93,9 +102,10 @@ def _marks(tag: str, attrs: str, in_article: bool) -> int:
 def lines_of(page: str) -> list[Line]:
     """The page as lines: one per stretch of text between block elements."""
     out: list[Line] = []
-    stack: list[tuple[str, int, int]] = []  # tag, furniture and article around it
+    stack: list[tuple[str, int, int, tuple]] = []  # tag, furniture, article and furniture names around it
+    sums: list[int] = []  # text outside links by element with such a name
     parts: list[str] = []
-    state = {"furniture": 0, "articles": 0, "article": 0, "link": 0, "linked": 0}
+    state = {"furniture": 0, "articles": 0, "article": 0, "link": 0, "linked": 0, "named": ()}
 
     def flush() -> None:
         text = "".join(parts)
@@ -105,7 +115,10 @@ def lines_of(page: str) -> list[Line]:
             text = html.unescape(text)
         text = _SPACE.sub(" ", text).strip()
         if text:
-            out.append(Line(text, len(text), linked, bool(state["furniture"]), state["article"]))
+            hard = state["furniture"] == 2
+            out.append(Line(text, len(text), linked, hard, state["article"], state["named"]))
+            for i in () if hard else state["named"]:
+                sums[i] += max(0, len(text) - linked)
 
     def add(text: str) -> None:
         if text:
@@ -115,7 +128,7 @@ def lines_of(page: str) -> list[Line]:
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            tag, state["furniture"], state["article"] = stack.pop()
+            tag, state["furniture"], state["article"], state["named"] = stack.pop()
             if tag == "a":
                 state["link"] -= 1
 
@@ -138,18 +151,28 @@ def lines_of(page: str) -> list[Line]:
             continue
         if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option"):
             _imply_end(stack, tag, close)
+        if tag == "body":  # ends a head without an end tag
+            head = next((i for i, x in enumerate(stack) if x[0] == "head"), None)
+            if head is not None:
+                close(head)
         mark = _marks(tag, m[4], bool(state["article"]))
-        stack.append((tag, state["furniture"], state["article"]))
+        stack.append((tag, state["furniture"], state["article"], state["named"]))
         if tag in ("article", "main") and not mark and not state["article"] and state["furniture"] == 1:
-            state["furniture"] = 0  # a wrapper's name does not make its article furniture
+            state["furniture"], state["named"] = 0, ()  # a wrapper's name does not make its article furniture
+        if mark == 1:
+            state["named"] = (*state["named"], len(sums))
+            sums.append(0)
         state["furniture"] = max(state["furniture"], mark)
-        if tag in ("article", "main") and not state["furniture"]:
+        if tag in ("article", "main") and state["furniture"] < 2:
             state["articles"] += 1
             state["article"] = state["articles"] if not state["article"] else state["article"]
         if tag == "a":
             state["link"] += 1
     add(page[at:])
     flush()
+    total = sum(max(0, x.length - x.linked) for x in out if not x.furniture)
+    for x in out:
+        x.furniture = x.furniture or any(sums[i] < LEAST_TEXT or 2 * sums[i] <= total for i in x.named)
     return out
 
 

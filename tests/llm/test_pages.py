@@ -61,6 +61,18 @@ def test_main_text():
     assert main_text("<p>cut <script>never closed <p>x") == "cut"
 
 
+LOREM = "The river ran on through the quiet valley and nobody there had counted its bends. "
+
+
+def test_names_of_furniture():
+    for name in ("overflow-hidden", "elementor-widget-container", "content-with-sidebar"):
+        assert main_text(f'<article><p>Start.</p><div class="{name}"><p>{LOREM}</p></div><p>End.</p></article>') == f"Start.\n{LOREM.strip()}\nEnd."
+    assert main_text('<article><h2 id="social-impact">Impact</h2><p>a</p><section id="related-work"><h2 id="related">Work</h2><p>b</p></section></article>') == "Impact\na\nWork\nb"
+    assert main_text("<html><head><title>T</title><body><p>Kept without an end of the head.</p></body></html>") == "Kept without an end of the head."
+    assert main_text(f'<article><div class="widget"><p>{LOREM * 5}</p></div><div class="ad-box">Buy</div><p>x</p></article>') == f"{(LOREM * 5).strip()}\nx"
+    assert main_text('<article><p>a</p><div class="social-links">s</div><div id="site-footer">f</div><div class="ads">b</div></article>') == "a"
+
+
 def test_pages_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")]
     got = sorted((tuple(r) for r in extract_pages(pages(spark, rows)).collect()), key=repr)
