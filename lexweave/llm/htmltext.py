@@ -4,7 +4,8 @@ Markup is stripped to lines, one per block element, each with its text length an
 it that stands in links or in page furniture (menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments). Lengths that count are summed over sliding windows of lines;
 where the sums rise from nothing the text surges, where they fall back it dives, and what lies
-between the surge and the dive with the most text is the article. Furniture between the two
+between the surge and the dive with the most text is the article (text in an article or main
+element weighs more). Furniture between the two
 points is left out line by line, short paragraphs between them stay.
 """
 
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import map_rows
 
-#: Lines in a window.
-WINDOW = 3
+#: Lines in a window, and what a character in an article or main element counts.
+WINDOW, ARTICLE_WEIGHT = 3, 3
 
 # Elements of the HTML standard by their role here.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video")
@@ -188,28 +189,40 @@ def _imply_end(stack: list, tag: str, close) -> None:
 
 
 def main_lines(lines: list[Line]) -> list[Line]:
-    """Lines between the surge and the dive of the window with the most text."""
-    marked = any(x.article and not x.furniture for x in lines)
-    weight = []
-    for x in lines:
-        counts = not x.furniture and (bool(x.article) or not marked)
-        if counts and not x.article and x.linked * 2 > x.length:
-            counts = False  # a list of links outside any article
-        weight.append(x.length if counts else 0)
+    """Lines between the surge and the dive of the windows with the most text.
+
+    Lines in an article or main element weigh ``ARTICLE_WEIGHT`` times their length and an
+    article's edge ends a region. If an article wins, every article's part counts."""
+    weight = [0 if x.furniture or (not x.article and x.linked * 2 > x.length) else x.length * (ARTICLE_WEIGHT if x.article else 1) for x in lines]
+    regions = _regions(lines, weight)
+    if not regions:
+        return []
+    first, last = max(regions, key=lambda r: sum(weight[r[0] : r[1] + 1]))
+    if lines[first].article:
+        return [x for x in lines if x.article and not x.furniture]
+    return [x for x, w in zip(lines[first : last + 1], weight[first : last + 1], strict=True) if w]
+
+
+def _regions(lines: list[Line], weight: list[int]) -> list[tuple[int, int]]:
+    """First and last line of each region: from a surge to a dive, cut at an article's edges;
+    what an article holds is one region."""
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    best, surge = (0, 0, 0), None
-    for i, s in enumerate([*sums, 0]):
-        if s and surge is None:
-            surge = i
-        elif not s and surge is not None:
-            total = sum(weight[surge:i])
-            if total > best[0]:
-                best = (total, surge, i)
-            surge = None
-    if marked:  # every article's part counts: the surge of the first, the dive of the last
-        spots = [i for i, w in enumerate(weight) if w]
-        best = (1, spots[0], spots[-1] + 1)
-    return [x for x, w in zip(lines[best[1] : best[2]], weight[best[1] : best[2]], strict=True) if w]
+    out: list[tuple[int, int]] = []
+    places: dict[int, int] = {}
+    dived = True
+    for i, w in enumerate(weight):
+        dived = dived or not sums[i]
+        if not w:
+            continue
+        kind = lines[i].article
+        at = places.get(kind) if kind else (len(out) - 1 if not dived and not lines[out[-1][1]].article else None)
+        if at is None:
+            places[kind] = len(out)
+            out.append((i, i))
+        else:
+            out[at] = (out[at][0], i)
+        dived = False
+    return out
 
 
 def main_text(page: str) -> str:

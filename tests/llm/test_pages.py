@@ -73,6 +73,14 @@ def test_names_of_furniture():
     assert main_text('<article><p>a</p><div class="social-links">s</div><div id="site-footer">f</div><div class="ads">b</div></article>') == "a"
 
 
+def test_windows_choose_on_pages_with_an_article():
+    real = "".join(f"<p>{i} {LOREM * 3}</p>" for i in range(4))
+    want = "\n".join(f"{i} {(LOREM * 3).strip()}" for i in range(4))
+    assert main_text(f"<div>{real}</div><article><h3>Card</h3><p>Read this too.</p></article>") == want
+    assert main_text(f"<article><h3>Card</h3><p>Read this too.</p></article><div>{real}</div>") == want
+    assert main_text(f"<div><p>A line outside.</p></div><article>{real}</article><div><p>{LOREM * 6}</p></div>") == want
+
+
 def test_pages_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")]
     got = sorted((tuple(r) for r in extract_pages(pages(spark, rows)).collect()), key=repr)
