@@ -7,6 +7,7 @@ where the sums rise from nothing the text surges, where they fall back it dives,
 between the surge and the dive with the most text is the article (text in an article or main
 element weighs more). Furniture between the two
 points is left out line by line, short paragraphs between them stay.
+Regions of one container that only furniture or links separate are joined.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ WINDOW, ARTICLE_WEIGHT = 3, 3
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
+#: Elements that hold a text of their own; other blocks are parts of one.
+BOXES = frozenset("article center div main td".split())
 FURNITURE = frozenset("nav footer aside form button select dialog menu fieldset head datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
 #: Words of class and id names that mark furniture.
@@ -62,6 +65,15 @@ _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 
 
+class Box:
+    """A container of lines; None stands for the page."""
+
+    __slots__ = ("outer", "depth")
+
+    def __init__(self, outer: Box | None) -> None:
+        self.outer, self.depth = outer, outer.depth + 1 if outer else 1
+
+
 @dataclass
 class Line:
     text: str
@@ -70,6 +82,7 @@ class Line:
     furniture: bool
     article: int
     named: tuple = ()
+    box: Box | None = None
 
 
 def _marks(tag: str, attrs: str, in_article: bool) -> int:
@@ -103,10 +116,10 @@ def _marks(tag: str, attrs: str, in_article: bool) -> int:
 def lines_of(page: str) -> list[Line]:
     """The page as lines: one per stretch of text between block elements."""
     out: list[Line] = []
-    stack: list[tuple[str, int, int, tuple]] = []  # tag, furniture, article and furniture names around it
+    stack: list[tuple[str, int, int, tuple, Box | None]] = []  # tag, furniture, article, furniture names and container around it
     sums: list[int] = []  # text outside links by element with such a name
     parts: list[str] = []
-    state = {"furniture": 0, "articles": 0, "article": 0, "link": 0, "linked": 0, "named": ()}
+    state = {"furniture": 0, "articles": 0, "article": 0, "link": 0, "linked": 0, "named": (), "box": None}
 
     def flush() -> None:
         text = "".join(parts)
@@ -117,7 +130,7 @@ def lines_of(page: str) -> list[Line]:
         text = _SPACE.sub(" ", text).strip()
         if text:
             hard = state["furniture"] == 2
-            out.append(Line(text, len(text), linked, hard, state["article"], state["named"]))
+            out.append(Line(text, len(text), linked, hard, state["article"], state["named"], state["box"]))
             for i in () if hard else state["named"]:
                 sums[i] += max(0, len(text) - linked)
 
@@ -129,7 +142,7 @@ def lines_of(page: str) -> list[Line]:
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            tag, state["furniture"], state["article"], state["named"] = stack.pop()
+            tag, state["furniture"], state["article"], state["named"], state["box"] = stack.pop()
             if tag == "a":
                 state["link"] -= 1
 
@@ -157,7 +170,9 @@ def lines_of(page: str) -> list[Line]:
             if head is not None:
                 close(head)
         mark = _marks(tag, m[4], bool(state["article"]))
-        stack.append((tag, state["furniture"], state["article"], state["named"]))
+        stack.append((tag, state["furniture"], state["article"], state["named"], state["box"]))
+        if tag in BOXES:
+            state["box"] = Box(state["box"])
         if tag in ("article", "main") and not mark and not state["article"] and state["furniture"] == 1:
             state["furniture"], state["named"] = 0, ()  # a wrapper's name does not make its article furniture
         if mark == 1:
@@ -194,13 +209,74 @@ def main_lines(lines: list[Line]) -> list[Line]:
     Lines in an article or main element weigh ``ARTICLE_WEIGHT`` times their length and an
     article's edge ends a region. If an article wins, every article's part counts."""
     weight = [0 if x.furniture or (not x.article and x.linked * 2 > x.length) else x.length * (ARTICLE_WEIGHT if x.article else 1) for x in lines]
-    regions = _regions(lines, weight)
+    lists = _link_lists(lines)
+    regions = _joined(_regions(lines, weight), lines, weight, lists)
     if not regions:
         return []
     first, last = max(regions, key=lambda r: sum(weight[r[0] : r[1] + 1]))
     if lines[first].article:
         return [x for x in lines if x.article and not x.furniture]
-    return [x for x, w in zip(lines[first : last + 1], weight[first : last + 1], strict=True) if w]
+    box = _box_of(lines, weight, first, last)
+    while box and last + 1 < len(lines) and _common(lines[last + 1].box, box) is box:
+        last += 1  # a paragraph of links at the end
+    while box and first and _common(lines[first - 1].box, box) is box:
+        first -= 1
+    return [lines[i] for i in range(first, last + 1) if not lines[i].furniture and not lists[i]]
+
+
+def _link_lists(lines: list[Line]) -> list[bool]:
+    """Lines outside articles that are links and nothing else, in runs of a window or more."""
+    out = [False] * len(lines)
+    run = 0
+    for i, x in enumerate(lines):
+        run = run + 1 if not x.furniture and not x.article and x.linked * 10 >= x.length * 9 else 0
+        if run >= WINDOW:
+            out[i - WINDOW + 1 : i + 1] = [True] * WINDOW
+    return out
+
+
+def _common(a: Box | None, b: Box | None) -> Box | None:
+    """The innermost container of both."""
+    while a is not b:
+        if b is None or (a is not None and a.depth >= b.depth):
+            a = a.outer
+        else:
+            b = b.outer
+    return a
+
+
+def _box_of(lines: list[Line], weight: list[int], first: int, last: int) -> Box | None:
+    """The innermost container of a region's lines."""
+    box = lines[first].box
+    for i in range(first + 1, last + 1):
+        if weight[i]:
+            box = _common(box, lines[i].box)
+    return box
+
+
+def _joined(regions: list[tuple[int, int]], lines: list[Line], weight: list[int], lists: list[bool]) -> list[tuple[int, int]]:
+    """Regions outside articles that only furniture, links or a lighter article inside the
+    same container separates are one."""
+    out: list[tuple[int, int]] = []
+    last: tuple[int, Box | None, int] | None = None  # place in ``out``, container and weight of the last region outside articles
+    for first, end in regions:
+        if lines[first].article:
+            out.append((first, end))
+            continue
+        box, mass = _box_of(lines, weight, first, end), sum(weight[first : end + 1])
+        if last:
+            start, stop = out[last[0]]
+            both = _common(last[1], box)
+            between = range(stop + 1, first)
+            inside = both is not None and all(_common(lines[i].box, both) is both for i in between)
+            lighter = sum(weight[i] for i in between) <= last[2] + mass
+            if lighter and (both is last[1] or both is box) and (inside or all(lines[i].furniture for i in between)):
+                out[last[0]] = (start, end)
+                last = (last[0], both, last[2] + mass)
+                continue
+        last = (len(out), box, mass)
+        out.append((first, end))
+    return out
 
 
 def _regions(lines: list[Line], weight: list[int]) -> list[tuple[int, int]]:

@@ -81,6 +81,21 @@ def test_windows_choose_on_pages_with_an_article():
     assert main_text(f"<div><p>A line outside.</p></div><article>{real}</article><div><p>{LOREM * 6}</p></div>") == want
 
 
+def test_furniture_and_links_inside_a_container():
+    a, b = (f"{x} {LOREM * 2}".strip() for x in "ab")
+    for block in (
+        '<div class="ad"><p>Buy</p><p>this</p><p>now</p><p>please</p></div>',
+        "<form><p>Your</p><p>name</p><p>and</p><p>address</p></form>",
+        '<ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li><li><a href="/3">Three</a></li></ul>',
+    ):
+        assert main_text(f"<body><div><p>{a}</p>{block}<p>{b}</p></div></body>") == f"{a}\n{b}"
+        assert main_text(f"<div id=x><div><section><p>{a}</p></section>{block}<section><p>{b}</p></section></div><div>{block}</div><div><p>Side</p></div></div>") == f"{a}\n{b}"
+    assert main_text(f"<div><p>Crumbs</p><article><p>{a}</p><p>{b}</p></article><p>Outro</p></div>") == f"{a}\n{b}"
+    links = '<p><a href="/1">A paragraph that is mostly a link</a> to read.</p>'
+    text = "A paragraph that is mostly a link to read."
+    assert main_text(f"<div><p>{a}</p>{links}{links}{links}<p>{b}</p>{links}</div>") == "\n".join([a, text, text, text, b, text])
+
+
 def test_pages_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")]
     got = sorted((tuple(r) for r in extract_pages(pages(spark, rows)).collect()), key=repr)
