@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,19 +197,15 @@ def keep_one(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     Jaccard similarity of ``least`` or more: that with the least doc_id.
 
     The links are those of ``shingles``, not fingerprints within a few bits: near copies at 0.8
-    differ in more bits than blocks can find. A component without any doc_id keeps the row with
-    the least text.
+    differ in more bits than blocks can find. Rows of one doc_id with different texts are
+    different documents. Of rows with the least doc_id in a component, that with the least hash
+    of its words stays, then that with the least text; null doc_ids come last.
     """
+    rows = shingles.with_nodes(docs, "__near_node")
     found = shingles.components(docs.select("doc_id", "text"), least, width)
-    best = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__near_id")).distinct()
-    named = docs.join(best, F.col("doc_id") == F.col("__near_id"), "left_semi").dropDuplicates(["doc_id"])
-    bare = found.where("component_id is null").groupBy("fp").count().limit(1)
-    if bare.isEmpty():
-        return named
-    unnamed = docs.where("doc_id is null")
-    keys = shingles.components(unnamed.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), least, width)
-    lone = found.where("component_id is null").select("fp").distinct()
-    heads = keys.join(lone, "fp", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias("__near_id")).distinct()
-    rest = unnamed.withColumn("__near_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rest = rest.join(heads, F.col("__near_hash") == F.col("__near_id"), "left_semi").dropDuplicates(["__near_hash"]).drop("__near_hash")
-    return named.unionByName(rest)
+    # nulls are the greatest here: a row without doc_id is kept only if no row has one
+    heads = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("head"))
+    heads = heads.select(F.col("head.doc_id").alias("__near_id"), F.col("head.fp").alias("__near_fp"))
+    kept = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_node") == F.col("__near_fp")), "left_semi")
+    one = Window.partitionBy("doc_id", "__near_node").orderBy(F.col("text").asc_nulls_first())
+    return kept.withColumn("__near_row", F.row_number().over(one)).where("__near_row = 1").drop("__near_row", "__near_node")

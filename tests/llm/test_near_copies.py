@@ -72,3 +72,10 @@ def test_keep_one_against_all_pairs(spark):
     assert 100 < len(want) < len(texts) - 150
     docs = documents(spark, [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)])
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+
+
+def test_repeated_doc_ids_with_different_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (2, a + " more", "en", "s", 0), (None, b, "en", "s", 0), (None, "lone text", "en", "s", 0), (None, "lone text", "en", "s", 0)]
+    got = simhash.keep_one(documents(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, a), (1, b), (None, "lone text")], key=repr)
