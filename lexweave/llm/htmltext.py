@@ -2,12 +2,14 @@
 
 Markup is stripped to lines, one per block element, each with its text length and the part of
 it that stands in links or in page furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments). Lengths that count are summed over sliding windows of lines;
-where the sums rise from nothing the text surges, where they fall back it dives, and what lies
-between the surge and the dive with the most text is the article (text in an article or main
-element weighs more). Furniture between the two
-points is left out line by line, short paragraphs between them stay.
-Regions of one container that only furniture or links separate are joined.
+adverts, forms, reader comments). Lengths that count are summed over sliding windows of lines.
+A stretch of the page begins where the sums rise from nothing and ends where they dive to
+nothing again; it surges if a sum inside reaches a share of the page's largest. Stretches of
+one container that only furniture or links separate are one text. The text that weighs most is
+the article: every line between its two ends but furniture and lists of links, short ones too.
+
+An article or main element decides nothing by itself: text in one weighs more, and its edges
+are as wide as a window, so that no window looks over them.
 """
 
 from __future__ import annotations
@@ -16,17 +18,19 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import map_rows
 
-#: Lines in a window, and what a character in an article or main element counts.
-WINDOW, ARTICLE_WEIGHT = 3, 3
+#: Lines in a window, what a character in an article or main element counts, and the share of
+#: the page's largest window sum that a stretch must reach to be text.
+WINDOW, ARTICLE_WEIGHT, SURGE = 3, 3, 0.25
 
 # Elements of the HTML standard by their role here.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video")
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "canvas", "audio", "video")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements that hold a text of their own; other blocks are parts of one.
@@ -203,25 +207,81 @@ def _imply_end(stack: list, tag: str, close) -> None:
             return
 
 
-def main_lines(lines: list[Line]) -> list[Line]:
-    """Lines between the surge and the dive of the windows with the most text.
+@dataclass
+class Stretch:
+    """Lines ``first`` to ``last`` between a rise and a dive: largest window sum, total weight
+    and innermost container."""
+
+    first: int
+    last: int
+    peak: int
+    mass: int
+    box: Box | None = None
 
-    Lines in an article or main element weigh ``ARTICLE_WEIGHT`` times their length and an
-    article's edge ends a region. If an article wins, every article's part counts."""
-    weight = [0 if x.furniture or (not x.article and x.linked * 2 > x.length) else x.length * (ARTICLE_WEIGHT if x.article else 1) for x in lines]
+
+def main_lines(lines: list[Line]) -> list[Line]:
+    """The lines of the heaviest text that surges, without furniture and lists of links; if it
+    stands in an article, other articles that surge count too."""
+    weight = [_weight(x) for x in lines]
     lists = _link_lists(lines)
-    regions = _joined(_regions(lines, weight), lines, weight, lists)
-    if not regions:
+    found = _joined(stretches(lines, weight), lines, weight)
+    level = SURGE * max((x.peak for x in found), default=0)
+    found = [x for x in found if x.peak >= level]
+    if not found:
         return []
-    first, last = max(regions, key=lambda r: sum(weight[r[0] : r[1] + 1]))
-    if lines[first].article:
-        return [x for x in lines if x.article and not x.furniture]
-    box = _box_of(lines, weight, first, last)
-    while box and last + 1 < len(lines) and _common(lines[last + 1].box, box) is box:
-        last += 1  # a paragraph of links at the end
-    while box and first and _common(lines[first - 1].box, box) is box:
-        first -= 1
-    return [lines[i] for i in range(first, last + 1) if not lines[i].furniture and not lists[i]]
+    best = max(found, key=lambda x: x.mass)
+    kept = [x for x in found if x is best or (lines[best.first].article and lines[x.first].article)]
+    return [lines[i] for x in kept for i in _span(x, lines) if not lines[i].furniture and not lists[i]]
+
+
+def _weight(line: Line) -> int:
+    """What a line adds to its windows; links outside articles are no text."""
+    if line.furniture or (not line.article and line.linked * 2 > line.length):
+        return 0
+    return line.length * (ARTICLE_WEIGHT if line.article else 1)
+
+
+def window_sums(rows: list[int]) -> list[int]:
+    """Sum of each row and the ``WINDOW - 1`` rows after it."""
+    ahead = [0, *accumulate(rows)]
+    return [ahead[min(i + WINDOW, len(rows))] - ahead[i] for i in range(len(rows))]
+
+
+def stretches(lines: list[Line], weight: list[int]) -> list[Stretch]:
+    """Stretches of lines whose windows are not empty, in page order."""
+    place: list[int | None] = []  # line of each row; an article's edge is a window of empty rows
+    for i, x in enumerate(lines):
+        if i and x.article != lines[i - 1].article:
+            place += [None] * WINDOW
+        place.append(i)
+    rows = [0 if i is None else weight[i] for i in place]
+    out: list[Stretch] = []
+    now: Stretch | None = None
+    peak = 0
+    for at, own, total in zip(place, rows, window_sums(rows), strict=True):
+        if not total:  # the dive
+            now, peak = None, 0
+            continue
+        peak = max(peak, total)
+        if own:
+            if now is None:
+                now = Stretch(at, at, 0, 0, lines[at].box)
+                out.append(now)
+            now.last, now.mass, now.box = at, now.mass + own, _common(now.box, lines[at].box)
+        if now is not None:
+            now.peak = max(now.peak, peak)
+    return out
+
+
+def _span(text: Stretch, lines: list[Line]) -> range:
+    """A text's lines, with the paragraphs of links at its ends that share its container."""
+    first, last = text.first, text.last
+    if not lines[first].article and text.box:
+        while last + 1 < len(lines) and _common(lines[last + 1].box, text.box) is text.box:
+            last += 1
+        while first and _common(lines[first - 1].box, text.box) is text.box:
+            first -= 1
+    return range(first, last + 1)
 
 
 def _link_lists(lines: list[Line]) -> list[bool]:
@@ -245,60 +305,32 @@ def _common(a: Box | None, b: Box | None) -> Box | None:
     return a
 
 
-def _box_of(lines: list[Line], weight: list[int], first: int, last: int) -> Box | None:
-    """The innermost container of a region's lines."""
-    box = lines[first].box
-    for i in range(first + 1, last + 1):
-        if weight[i]:
-            box = _common(box, lines[i].box)
-    return box
-
-
-def _joined(regions: list[tuple[int, int]], lines: list[Line], weight: list[int], lists: list[bool]) -> list[tuple[int, int]]:
-    """Regions outside articles that only furniture, links or a lighter article inside the
-    same container separates are one."""
-    out: list[tuple[int, int]] = []
-    last: tuple[int, Box | None, int] | None = None  # place in ``out``, container and weight of the last region outside articles
-    for first, end in regions:
-        if lines[first].article:
-            out.append((first, end))
-            continue
-        box, mass = _box_of(lines, weight, first, end), sum(weight[first : end + 1])
-        if last:
-            start, stop = out[last[0]]
-            both = _common(last[1], box)
-            between = range(stop + 1, first)
-            inside = both is not None and all(_common(lines[i].box, both) is both for i in between)
-            lighter = sum(weight[i] for i in between) <= last[2] + mass
-            if lighter and (both is last[1] or both is box) and (inside or all(lines[i].furniture for i in between)):
-                out[last[0]] = (start, end)
-                last = (last[0], both, last[2] + mass)
-                continue
-        last = (len(out), box, mass)
-        out.append((first, end))
+def _joined(found: list[Stretch], lines: list[Line], weight: list[int]) -> list[Stretch]:
+    """Stretches of one container or article that are one text, as one."""
+    out: list[Stretch] = []
+    before: dict[int, Stretch] = {}  # the last text by article, 0 for none
+    for x in found:
+        article = lines[x.first].article
+        old = before.get(article)
+        if old and _one_text(old, x, lines, weight):
+            old.last, old.peak, old.mass, old.box = x.last, max(old.peak, x.peak), old.mass + x.mass, _common(old.box, x.box)
+        else:
+            before[article] = x
+            out.append(x)
     return out
 
 
-def _regions(lines: list[Line], weight: list[int]) -> list[tuple[int, int]]:
-    """First and last line of each region: from a surge to a dive, cut at an article's edges;
-    what an article holds is one region."""
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    out: list[tuple[int, int]] = []
-    places: dict[int, int] = {}
-    dived = True
-    for i, w in enumerate(weight):
-        dived = dived or not sums[i]
-        if not w:
-            continue
-        kind = lines[i].article
-        at = places.get(kind) if kind else (len(out) - 1 if not dived and not lines[out[-1][1]].article else None)
-        if at is None:
-            places[kind] = len(out)
-            out.append((i, i))
-        else:
-            out[at] = (out[at][0], i)
-        dived = False
-    return out
+def _one_text(a: Stretch, b: Stretch, lines: list[Line], weight: list[int]) -> bool:
+    """Whether only furniture, links or a lighter article stands between two stretches, inside
+    the container that one of them has; in an article, only furniture."""
+    between = range(a.last + 1, b.first)
+    if lines[a.first].article:
+        return all(lines[i].furniture for i in between)
+    both = _common(a.box, b.box)
+    if both is not a.box and both is not b.box:
+        return False
+    inside = both is not None and all(_common(lines[i].box, both) is both for i in between)
+    return sum(weight[i] for i in between) <= a.mass + b.mass and (inside or all(lines[i].furniture for i in between))
 
 
 def main_text(page: str) -> str:
