@@ -6,8 +6,8 @@ joined again. Two facts make a join exact without looking at the whole of either
 * *Sync points.* No match of the splitting pattern runs over a place where white space follows
   a character that is not white space: the pattern takes white space only at the start of a
   match or as a run of its own. Text on either side of such a place is encoded independently,
-  so a join re-encodes the window between the last sync point on the left and the first on the
-  right; tokens outside it are final.
+  so a join re-encodes a window around the boundary, and grows it until a sync point stands at
+  each end (or the text ends there); tokens outside it are final.
 * *Pair stability.* Inside one (long) match, a sequence of tokens is the encoding of its bytes
   exactly if each two neighbours are the encoding of their own concatenation: the first merge
   to run over a boundary would already run over it in the pair alone. A join re-encodes a
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.common import map_rows, text_bytes
 
-#: Characters of a text leaf, bytes of a leaf within one match, ids of a decoding leaf.
-TEXT_LEAF, PIECE_LEAF, ID_LEAF = 4096, 256, 4096
+#: Characters of a text leaf, bytes of a leaf within one match, ids of a decoding leaf, and
+#: characters of the first window around a join (it doubles until its ends are certain).
+TEXT_LEAF, PIECE_LEAF, ID_LEAF, FIRST_WINDOW = 256, 256, 256, 32
 #: Pairs whose stability is remembered before the memory starts anew (speed only).
 PAIR_MEMORY = 200_000
 #: White space that ends a window; a subset of every engine's ``\s``, so a sync point is certain.
@@ -56,47 +57,47 @@ class ByteBpe:
             self.bytes_of[rank] = token
         self.length_of = [len(x) for x in self.bytes_of]
         self.stable: dict[tuple[int, int], bool] = {}
+        self.joins = self.grown = 0  # joins so far, and windows that had to grow
 
     # text level -------------------------------------------------------------------------
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text of any length; an empty text has none."""
-        if len(text) <= TEXT_LEAF:
-            return self._pieces(text)
-        return self._encode(text, 0, len(text))
-
-    def _encode(self, text: str, start: int, end: int) -> list[int]:
-        if end - start <= TEXT_LEAF:
-            return self._pieces(text[start:end])
+    def encode(self, text: str, leaf: int = 0) -> list[int]:
+        """Ids of a whole text of any length; an empty text has none. The ids do not depend on
+        ``leaf``, the characters up to which a text is not halved (``TEXT_LEAF``)."""
+        return self._encode(text, 0, len(text), leaf or TEXT_LEAF)
+
+    def _encode(self, text: str, start: int, end: int, leaf: int) -> list[int]:
+        if end - start <= leaf:
+            return self._pieces(text[start:end], leaf)
         cut = (start + end) // 2
-        return self._join(text, start, cut, end, self._encode(text, start, cut), self._encode(text, cut, end))
+        return self._join(text, start, cut, end, self._encode(text, start, cut, leaf), self._encode(text, cut, end, leaf), leaf)
 
-    def _join(self, text: str, start: int, cut: int, end: int, left: list[int], right: list[int]) -> list[int]:
-        a = self._sync_before(text, start, cut)
-        b = self._sync_after(text, cut, end)
+    def _join(self, text: str, start: int, cut: int, end: int, left: list[int], right: list[int], leaf: int) -> list[int]:
+        """The ids of ``text[start:end]`` from those of its halves."""
+        self.joins += 1
+        a, b = self._window(text, start, cut, end)
         self._drop_tail(left, len(text[a:cut].encode()))
         head = self._head(right, len(text[cut:b].encode()))
-        left += self._pieces(text[a:b])
+        left += self._pieces(text[a:b], leaf)
         left += right[head:]
         return left
 
-    def _sync_before(self, text: str, start: int, cut: int) -> int:
-        """The last sync point in ``[start, cut)``; windows double until one holds it."""
-        width = 64
-        while True:
-            low = max(start, cut - width)
-            found = None
-            for m in _SYNC.finditer(text, low, cut + 1):
-                if start < m.start() < cut:
-                    found = m.start()
-            if found is not None or low == start:
-                return start if found is None else found
-            width *= 2
-
-    def _sync_after(self, text: str, cut: int, end: int) -> int:
-        for m in _SYNC.finditer(text, cut, end):
-            if cut < m.start() < end:
-                return m.start()
-        return end
+    def _window(self, text: str, start: int, cut: int, end: int) -> tuple[int, int]:
+        """The window around ``cut`` outside which all ids of both halves are final: each side
+        reaches out until it holds a sync point, the nearest one, or the text's own end."""
+        a, b, width = None, None, FIRST_WINDOW
+        while a is None or b is None:
+            if a is None:
+                low = max(start, cut - width)
+                found = [m.start() for m in _SYNC.finditer(text, low, cut)]
+                a = found[-1] if found and found[-1] > start else start if low == start else None
+            if b is None:
+                high = min(end, cut + width)
+                found = next((m.start() for m in _SYNC.finditer(text, cut + 1, high)), None)
+                b = found if found is not None else end if high == end else None
+            if a is None or b is None:
+                width *= 2
+                self.grown += 1
+        return a, b
 
     def _drop_tail(self, ids: list[int], size: int) -> None:
         while size > 0:
@@ -109,9 +110,9 @@ class ByteBpe:
             i += 1
         return i
 
-    def _pieces(self, text: str) -> list[int]:
-        """Each match of the pattern on its own; long matches by the tree."""
-        if len(text) <= TEXT_LEAF:
+    def _pieces(self, text: str, leaf: int) -> list[int]:
+        """Each match of the pattern on its own; in a long text also by the tree."""
+        if len(text) <= leaf:
             return self.core.encode_ordinary(text)
         out: list[int] = []
         for piece in self.split.findall(text):

@@ -27,6 +27,8 @@ from lexweave.llm.common import text_bytes
 
 #: Rows that Spark hands over at a time, and output bytes and rows in a batch.
 ROWS, OUT_BYTES = 256, 4_000_000
+#: Characters that the byte-level encoder takes at a time; the ids are the same for any number.
+LEAF = 4096
 
 Encode = Callable[[str], list[int]]
 
@@ -45,7 +47,7 @@ def byte_encoder(json_path: str, ranks_path: str, pattern: str) -> Encode:
     """Byte-level BPE whose vocabulary is there in both formats."""
     special, library = _library(json_path)
     bpe = ByteBpe(read_ranks(ranks_path), pattern)
-    return lambda text: library(text) if any(s in text for s in special) else bpe.encode(text)
+    return lambda text: library(text) if any(s in text for s in special) else bpe.encode(text, LEAF)
 
 
 def _byte_of_char() -> dict[str, int]:
