@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at a time. Texts are unbounded, so batches are kept short: this
-#: bounds worker memory and does not change any result.
-BATCH_ROWS = 256
+#: Rows and bytes handed to or from Python at a time (a longer row goes alone). Texts are
+#: unbounded, so batches are kept short: this bounds worker memory and changes no result.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+#: Bytes up to which a stored table is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,14 +25,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster; where it is unset (tests on one machine) a
-    temporary folder is set once for the session.
+    ``spark.checkpoint.dir`` names it on a cluster, where it has to be set; on one machine
+    (tests) a temporary folder is set once for the session where it is not.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexweave-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    return named or sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -46,22 +50,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bounded_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored table marked for broadcast if its rows, of ``row_bytes`` each, are counted to be
+    under ``BROADCAST_BYTES``; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what every Arrow function of this subpackage is handed at a time. All of them set
+    the same values, so that it does not matter which was planned last."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` over Python dicts: ``rows`` streams a partition's rows to output rows.
 
-    Output is cut into batches of ``BATCH_ROWS`` rows, so neither side holds a partition.
+    Output is cut into batches of ``BATCH_ROWS`` rows or ``BATCH_BYTES`` bytes, so neither side
+    holds a partition.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     out = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in spark_schema(spark, schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[dict] = []
+        size = 0
         for row in rows(r for b in batches for r in b.to_pylist()):
             pending.append(row)
-            if len(pending) == BATCH_ROWS:
+            size += sum(len(v) for v in row.values() if isinstance(v, (bytes, str, list)))
+            if len(pending) == BATCH_ROWS or size >= BATCH_BYTES:
                 yield pa.RecordBatch.from_pylist(pending, schema=out)
-                pending = []
+                pending, size = [], 0
         if pending:
             yield pa.RecordBatch.from_pylist(pending, schema=out)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexweave.llm import shingles
-from lexweave.llm.common import BATCH_ROWS, checkpointed, text_bytes
+from lexweave.llm.common import bound_batches, checkpointed, text_bytes
 from lexweave.llm.graph import connected_components
 
 SEED, BITS = 42, 64
@@ -57,7 +57,7 @@ def fingerprint(body: bytes, width: int = 4) -> int:
 
 def with_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """``doc_id, fp``: each text's fingerprint as a signed long (null text: no words, 0)."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -23,9 +23,9 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from lexweave.llm.bytebpe import ByteBpe, read_ranks
-from lexweave.llm.common import text_bytes
+from lexweave.llm.common import bound_batches, text_bytes
 
-#: Rows that Spark hands over at a time, and output bytes and rows in a batch.
+#: A quarter of the rows, and the bytes, of an output batch.
 ROWS, OUT_BYTES = 256, 4_000_000
 #: Characters that the byte-level encoder takes at a time; the ids are the same for any number.
 LEAF = 4096
@@ -107,7 +107,7 @@ def map_ids(docs: DataFrame, columns: list[str], encoder: Callable[[], Encode],
     ``rows`` gets an iterator of (values, unsigned 32-bit ids) and yields (dict, bytes of it);
     batches are cut by bytes, so that memory is bounded however long texts are.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    bound_batches(docs.sparkSession)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encode = encoder()

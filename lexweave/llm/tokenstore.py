@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import stored
+from lexweave.llm.common import bound_batches, stored
 from lexweave.llm.tokens import Encode, map_ids
 
 #: Ids of a block; ones between two samples of the select structure; id that ends a document.
@@ -28,11 +28,18 @@ _MAGIC, _HEAD = b"LXIDS1", struct.Struct("<6sBBQQ")
 
 
 class EliasFano:
-    """A non-decreasing sequence of unsigned integers in near-minimal space."""
+    """A non-decreasing sequence of unsigned integers in near-minimal space.
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        self.samples: np.ndarray | None = None
+    Stored are the high parts in unary (a one for each value, after as many zeros as the high
+    part grows), the low bits, and the place of every ``SAMPLE``-th one as 32 bits: an eighth
+    of a bit a value. ``select`` starts at the sample before and counts ones byte by byte, so
+    that no table of counts or offsets is ever built.
+    """
+
+    _HEAD = struct.Struct("<QBIII")
+
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: bytes):
+        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -44,29 +51,34 @@ class EliasFano:
         ones = np.zeros((int(places[-1]) + 1 if n else 0), np.uint8)
         ones[places] = 1
         low = np.packbits(((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
-        return cls(n, bits, low, np.packbits(ones, bitorder="little"))
+        return cls(n, bits, low.tobytes(), np.packbits(ones, bitorder="little").tobytes(), places[::SAMPLE].astype("<u4").tobytes())
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        return self._HEAD.pack(self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low + self.high + self.samples
 
     @classmethod
     def from_bytes(cls, data: bytes, at: int = 0) -> tuple[EliasFano, int]:
-        n, bits, a, b = struct.unpack_from("<QBQQ", data, at)
-        at += struct.calcsize("<QBQQ")
-        low, high = np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a)
-        return cls(n, bits, low, high), at + a + b
-
-    def _select(self, i: int) -> int:
-        """Place of the i-th one: from its sample, over whole bytes, then within one."""
-        if self.samples is None:
-            ones = np.bitwise_count(self.high).cumsum(dtype=np.int64)
-            self.samples = np.searchsorted(ones, np.arange(0, self.n, SAMPLE) + 1)
-            self._before = np.concatenate([[0], ones])
-        byte = int(self.samples[i // SAMPLE])
-        while self._before[byte + 1] <= i:
+        n, bits, *sizes = cls._HEAD.unpack_from(data, at)
+        at += cls._HEAD.size
+        parts = []
+        for size in sizes:
+            parts.append(bytes(data[at : at + size]))
+            at += size
+        return cls(n, bits, *parts), at
+
+    def select(self, i: int) -> int:
+        """Place of the i-th one in the unary part."""
+        place = int.from_bytes(self.samples[i // SAMPLE * 4 : i // SAMPLE * 4 + 4], "little")
+        byte, skip = place >> 3, place & 7
+        bits = self.high[byte] >> skip << skip  # the sampled one and those after it
+        rest = i % SAMPLE
+        while (ones := bits.bit_count()) <= rest:
+            rest -= ones
             byte += 1
-        rank = i - int(self._before[byte])
-        return 8 * byte + int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))[rank])
+            bits = self.high[byte]
+        for _ in range(rest):
+            bits &= bits - 1
+        return 8 * byte + (bits & -bits).bit_length() - 1
 
     def __len__(self) -> int:
         return self.n
@@ -74,29 +86,22 @@ class EliasFano:
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
-        value = (self._select(i) - i) << self.low_bits
-        for j in range(self.low_bits):
-            k = i * self.low_bits + j
-            value |= int(self.low[k >> 3] >> (k & 7) & 1) << j
-        return value
-
-    def all(self) -> np.ndarray:
-        """Every value, decoded at once."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.uint64)
-        return high | (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        at = i * self.low_bits
+        low = int.from_bytes(self.low[at >> 3 : (at + self.low_bits + 7) >> 3], "little") >> (at & 7) & (1 << self.low_bits) - 1
+        return self.select(i) - i << self.low_bits | low
 
 
 def write_block(ids: list[np.ndarray], width: int) -> bytes:
-    """Bytes of a block; ``width`` is the bytes of an id (2 or 4)."""
+    """Bytes of a block; ``width`` is the bytes of an id (2 or 4). An id that needs more raises."""
     ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
     flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+    if len(flat) and int(flat.max()) >> 8 * width:
+        raise ValueError(f"the id {flat.max()} does not fit in {width} bytes")
     return _HEAD.pack(_MAGIC, 1, width, len(ids), len(flat)) + EliasFano.of(ends).to_bytes() + flat.astype(f"<u{width}").tobytes()
 
 
 class Block:
-    """A block read back: ``ids(i)`` of its i-th document."""
+    """A block read back: ``span(i)`` and ``ids(i)`` of its i-th document, by select."""
 
     def __init__(self, data: bytes):
         magic, version, width, self.n_docs, self.n_ids = _HEAD.unpack_from(data)
@@ -105,8 +110,13 @@ class Block:
         self.ends, at = EliasFano.from_bytes(data, _HEAD.size)
         self.flat = np.frombuffer(data, f"<u{width}", self.n_ids, at)
 
+    def span(self, i: int) -> tuple[int, int]:
+        """First id and the id after the last of a document."""
+        return (self.ends[i - 1] if i else 0), self.ends[i]
+
     def ids(self, i: int) -> np.ndarray:
-        return self.flat[self.ends[i - 1] if i else 0 : self.ends[i]]
+        first, end = self.span(i)
+        return self.flat[first:end]
 
 
 def write_ids(docs: DataFrame, encoder: Callable[[], Encode], end_id: int = END_ID, width: int = 2) -> DataFrame:
@@ -150,17 +160,21 @@ def with_starts(blocks: DataFrame) -> DataFrame:
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:
-    """One row per document of stored blocks: ``doc_id, start, n_tokens, ids_crc32``."""
-    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
+    """One row per document of stored blocks: ``doc_id, start, n_tokens, ids_crc32``.
+
+    Where a document's ids lie comes from the block's select structure; a block is bounded but
+    for a document that is longer itself.
+    """
+    bound_batches(blocks.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for base, doc_ids, payload in zip(*(b.column(i) for i in range(3)), strict=True):
-                block = Block(payload.as_py())
-                ends = block.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(block.flat[i:j].astype("<u4").tobytes()) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([doc_ids.values.cast(pa.int64()), pa.array(starts + base.as_py()), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                block, first = Block(payload.as_py()), base.as_py()
+                spans = [block.span(i) for i in range(block.n_docs)]
+                crc = [zlib.crc32(block.flat[i:j].astype("<u4").tobytes()) for i, j in spans]
+                yield pa.RecordBatch.from_arrays([doc_ids.values.cast(pa.int64()), pa.array([first + i for i, _ in spans], pa.int64()), pa.array([j - i for i, j in spans], pa.int64()), pa.array(crc, pa.int64())], schema=schema)
 
     return blocks.select("base", "doc_ids", "payload").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 

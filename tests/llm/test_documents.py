@@ -181,9 +181,19 @@ def test_elias_fano():
     for n, top in ((0, 1), (1, 0), (1, 10**6), (1000, 3), (3000, 10**7), (700, 0)):
         values = np.sort(rng.integers(0, top + 1, n))
         code, _ = tokenstore.EliasFano.from_bytes(tokenstore.EliasFano.of(values).to_bytes())
-        assert code.all().tolist() == values.tolist() and [code[i] for i in range(0, n, 7)] == values[::7].tolist()
+        assert [code[i] for i in range(n)] == values.tolist() and len(code.samples) == 4 * -(-n // tokenstore.SAMPLE)
     dense = np.cumsum(rng.integers(1, 2000, 5000))
-    assert len(tokenstore.EliasFano.of(dense).to_bytes()) * 8 / 5000 < 2.2 + np.log2(dense[-1] / 5000)
+    assert len(tokenstore.EliasFano.of(dense).to_bytes()) * 8 / 5000 < 2.4 + np.log2(dense[-1] / 5000)
+    gaps = np.repeat(np.arange(10) * 10**8, 300)  # ones in runs, long stretches of zeros
+    assert [tokenstore.EliasFano.of(gaps)[i] for i in range(3000)] == gaps.tolist()
+
+
+def test_token_blocks_refuse_ids_that_do_not_fit():
+    wide = [np.array([1, 70_000], np.uint32), np.array([], np.uint32), np.array([5], np.uint32)]
+    with pytest.raises(ValueError):
+        tokenstore.write_block(wide, 2)
+    block = tokenstore.Block(tokenstore.write_block(wide, 4))
+    assert [block.ids(i).tolist() for i in range(3)] == [[1, 70_000], [], [5]] and block.span(2) == (2, 3)
 
 
 def test_word_encoder_equals_library():
