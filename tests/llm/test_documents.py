@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -274,6 +275,48 @@ def test_licenses(spark):
     assert licenses.license_scan(empty(spark)).count() == 0 and PROSE
 
 
+def _base_places(text):
+    """Label and start word of each phrase, word by word."""
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", ascii_lower(text))
+    phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+    return w, [(label, i) for label, p in phrases.items() for i in range(len(w)) if w[i : i + len(p)] == p]
+
+
+def test_license_base_fields_against_every_word(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["MIT", "License", "apache", "license", "general", "public", "GNU", "Lizenz", "é", "漢字", "x-y", ".", "\n"]
+    rows = list(ROWS) + [(200 + i, " ".join(rng.choice(vocabulary, rng.integers(0, 60))), "en", "a", 0) for i in range(60)]
+    want = []
+    for i, t, *_ in rows:
+        w, places = _base_places(t or "")
+        starts = [k for _, k in places]
+        want.append((i, len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for x, _ in places}))))
+    found = licenses.license_scan(documents(spark, rows))
+    assert tuples(found, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(want, key=repr)
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in found.collect())
+
+
+def test_license_words_that_tell_licences_apart():
+    finder = licenses.NoticeFinder()
+    labels = lambda t: {finder.notices[i].label for i, *_ in finder.find(licenses.fold(t.encode()))}
+    for text in ("released under the bsd license", "licensed under cc by nd 4 0", "licensed under cc by sa 4.0", "licensed under CC BY 3.0"):
+        assert not labels(text), text
+    assert labels("licensed under the GNU general public license version 2") == {"gpl"}
+    assert labels("licenced under the apache licence, version 2.0") == {"apache-2.0-notice"}
+    assert labels("released under the bsd license or released under teh MIT license") == {"mit", "mit-notice"}
+
+
+def test_license_places_in_a_long_text():
+    import time
+
+    start = time.time()
+    text = licenses.fold(b"mit license " * 80_000)
+    found = licenses.NoticeFinder().find(text)
+    assert licenses.WordPlaces(text).at([a for _, a, _, _ in found]) == list(range(0, 160_000, 2))
+    assert not licenses.NoticeFinder().find(licenses.fold(b"licensed under the " * 50_000))
+    assert time.time() - start < 20
+
+
 def test_license_seeds_lose_no_match():
     import regex
 
