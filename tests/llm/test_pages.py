@@ -36,14 +36,42 @@ def test_nested_row(spark):
     assert r.request.line == "GET /x?y=1 HTTP/1.1" and r.capture.kind == "revisit" and (r.n_requests, r.n_metadata) == (1, 1)
 
 
-def test_identifiers_and_damage():
-    for page in (0, 5, -4, 2**62, None):
-        assert warc.page_of(warc.record_id("response", page, "ab" * 32)) == page
-    assert warc.page_of("urn:uuid:00000000-0000-4000-8000-000000000000") is None and warc.page_of("x") is None
+def test_identifiers_and_damage(spark):
+    ids = {warc.record_id(k, p, u, "ab" * 32) for k in ("response", "request") for p in (0, -4, 2**62, None) for u in ("u", "", None)}
+    assert len(ids) == 24 and all(x[23] == "8" and x[28] in "89ab" for x in ids)
     with pytest.raises(ValueError):
         list(warc.records(b"not a record"))
 
 
+def test_pages_without_id_keep_their_own_records(spark):
+    rows = [(None, "http://a/x", BIG), (None, "http://b/y", BIG), (None, None, "z" * 150)]
+    found = warc.assemble(warc.read_records(warc.write_archives(pages(spark, rows))))
+    got = sorted((r.capture.uri or "", r.request.line, r.capture.kind, r.n_requests, r.n_metadata) for r in found.collect())
+    assert got == [("", "GET / HTTP/1.1", "response", 1, 1), ("http://a/x", "GET /x HTTP/1.1", "response", 1, 1), ("http://b/y", "GET /y HTTP/1.1", "response", 1, 1)]
+
+
+def test_foreign_archive_and_missing_target(spark):
+    """Records with identifiers of their own: a revisit finds its target by the identifier alone."""
+    about = {"Content-Type": "application/http; msgtype=response"}
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n"
+    data = warc.record("response", "urn:x:1", "http://a/", about, http + b"hello")
+    data += warc.record("metadata", "urn:x:2", "http://a/", {"WARC-Concurrent-To": "<urn:x:1>"}, b"pageId: 11\r\n")
+    data += warc.record("revisit", "urn:x:3", "http://b/", about | {"WARC-Refers-To": "<urn:x:1>"}, http)
+    data += warc.record("revisit", "urn:x:4", "http://c/", about | {"WARC-Refers-To": "<urn:x:9>"}, http)
+    archive = spark.createDataFrame([(bytearray(data),), (None,), (bytearray(b""),)], "content binary")
+    got = {r.record_id: r for r in warc.assemble(warc.read_records(archive)).collect()}
+    assert len(got) == 3 and (got["urn:x:3"].referred.page_id, got["urn:x:3"].referred.uri) == (11, "http://a/")
+    assert got["urn:x:4"].referred is None and got["urn:x:1"].metadata.page_id == 11 and got["urn:x:3"].request is None
+
+
+def test_payload_longer_than_a_segment(spark):
+    rows = [(i, f"u{i}", chr(97 + i) * (warc.SEGMENT_BYTES * 3 if i % 2 else 10)) for i in range(4)]
+    archives = warc.write_archives(pages(spark, rows).coalesce(1))
+    assert archives.count() >= 1
+    got = sorted((r.capture.payload_bytes, r.capture.digest) for r in warc.assemble(warc.read_records(archives)).collect())
+    assert got == sorted((len(h), hashlib.sha256(h.encode()).hexdigest()) for _, _, h in rows)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div id="cookie-notice">We use cookies</div><div class="ad">Buy</div>
 <main><article class="post"><header><h1>Head &amp; tail</h1></header><p>One  <a href=x>linked</a>
