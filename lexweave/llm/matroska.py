@@ -22,7 +22,7 @@ from lexweave.llm.common import map_rows, text_bytes
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, VOID = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B, 0xEC
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4D80, 0x5741
-TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, DEFAULT_DURATION, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x23E383, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 _TOP = {INFO, TRACKS, CLUSTER, CUES, VOID, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
@@ -83,7 +83,7 @@ def mux_samples(samples: bytes) -> bytes:
     head = element(EBML, unsigned(EBML_VERSION, 1) + unsigned(EBML_READ_VERSION, 1) + unsigned(EBML_MAX_ID, 4) + unsigned(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + unsigned(DOC_VERSION, 4) + unsigned(DOC_READ_VERSION, 2))
     info = element(INFO, unsigned(TIMESTAMP_SCALE, 1_000_000) + element(MUXING_APP, b"lexweave") + element(WRITING_APP, b"lexweave"))
     audio = element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)) + unsigned(CHANNELS, 1) + unsigned(BIT_DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK_ENTRY, unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1) + unsigned(TRACK_TYPE, 2) + unsigned(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK_ENTRY, unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1) + unsigned(TRACK_TYPE, 2) + unsigned(FLAG_LACING, 1) + unsigned(DEFAULT_DURATION, PACKET * 10**9 // RATE) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
     body, cues = bytearray(info + tracks), bytearray()
     per_block, per_cluster = PACKET * LACE, PACKET * LACE * BLOCKS
     for start in range(0, len(samples), per_cluster):
@@ -155,7 +155,9 @@ def parse(data: bytes) -> dict:
     """Tracks, packets and cues of a file.
 
     A packet is ``track, time (ns), cluster, block, lace, keyframe, start, end``; a cue is
-    ``time, track, position`` with the position counted from the start of the file.
+    ``time, track, position`` with the position counted from the start of the file. A block's
+    time is that of its first frame; the others follow by the track's default duration, else by
+    an equal part of the block's own duration, else they have the block's time.
     """
     tracks, packets, cues, clusters = [], [], [], []
     scale, block_no = 1_000_000, 0
@@ -175,17 +177,23 @@ def parse(data: bytes) -> dict:
                     if i == CLUSTER_TIMESTAMP:
                         time = int.from_bytes(data[x:y], "big")
                     elif i in (SIMPLE_BLOCK, BLOCK_GROUP):
-                        key = i == SIMPLE_BLOCK
-                        if not key:
-                            inner = list(children(data, x, y))
-                            key_frame = all(k != REFERENCE_BLOCK for k, _, _ in inner)
-                            x, y = next(((p, q) for k, p, q in inner if k == BLOCK), (x, x))
-                            if x == y:
+                        lasts = key_frame = None
+                        if i == BLOCK_GROUP:
+                            inner = {k: (p, q) for k, p, q in children(data, x, y)}
+                            key_frame = REFERENCE_BLOCK not in inner
+                            if BLOCK not in inner:
                                 continue
+                            lasts = int.from_bytes(data[slice(*inner[BLOCK_DURATION])], "big") if BLOCK_DURATION in inner else None
+                            x, y = inner[BLOCK]
                         number, at = read_vint(data, x)
                         relative, flags = struct.unpack_from(">hB", data, at)
-                        for lace, (p, q) in enumerate(_lace(data, at + 3, y, flags >> 1 & 3)):
-                            packets.append({"track": number, "time": (time + relative) * scale, "cluster": len(clusters) - 1, "block": block_no, "lace": lace, "keyframe": bool(flags & 0x80) if key else key_frame, "start": p, "end": q})
+                        if key_frame is None:
+                            key_frame = bool(flags & 0x80)
+                        frames = _lace(data, at + 3, y, flags >> 1 & 3)
+                        step = next((t["duration"] for t in tracks if t["number"] == number), 0) or (lasts * scale // len(frames) if lasts else 0)
+                        start = (time + relative) * scale
+                        for lace, (p, q) in enumerate(frames):
+                            packets.append({"track": number, "time": start + lace * step, "cluster": len(clusters) - 1, "block": block_no, "lace": lace, "keyframe": key_frame, "start": p, "end": q})
                         block_no += 1
             elif ident == CUES:
                 for i, x, y in children(data, c, d):
@@ -197,12 +205,14 @@ def parse(data: bytes) -> dict:
 
 
 def _track(data: bytes, at: int, end: int) -> dict:
-    out = {"number": 0, "type": 0, "codec": ""}
+    out = {"number": 0, "type": 0, "codec": "", "duration": 0}
     for i, x, y in children(data, at, end):
         if i == TRACK_NUMBER:
             out["number"] = int.from_bytes(data[x:y], "big")
         elif i == TRACK_TYPE:
             out["type"] = int.from_bytes(data[x:y], "big")
+        elif i == DEFAULT_DURATION:
+            out["duration"] = int.from_bytes(data[x:y], "big")
         elif i == CODEC_ID:
             out["codec"] = data[x:y].decode("ascii", "replace")
     return out
@@ -211,7 +221,9 @@ def _track(data: bytes, at: int, end: int) -> dict:
 def packet_table(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
     """One row per packet of a column of files: track, time, place in the file, byte range.
 
-    Null or empty media give no rows; bytes that are not Matroska raise ``ValueError``.
+    Null or empty media and empty tables give no rows; a null key stays null; repeated rows
+    give their packets again; other columns are not read; bytes that are not Matroska raise
+    ``ValueError``.
     """
 
     def rows(batch: Iterator[dict]) -> Iterator[dict]:
@@ -224,7 +236,11 @@ def packet_table(media: DataFrame, column: str = "media", key: str = "doc_id") -
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each text as a Matroska file, zero-padded to the unit."""
+    """``doc_id, n_bytes, media``: each text as a Matroska file, zero-padded to the unit.
+
+    Null and empty texts are one unit of zeros; a null doc_id stays null; repeated rows repeat;
+    an empty table gives no rows; other columns are not read.
+    """
 
     def rows(batch: Iterator[dict]) -> Iterator[dict]:
         for r in batch:
@@ -240,19 +256,20 @@ def padded(body: bytes) -> bytes:
 def media_digest(docs: DataFrame) -> DataFrame:
     """One row per document about its text stored as a Matroska file and read back from it.
 
-    ``payload_*`` and ``tail_crc32`` are over the packets that the parser finds, in order of
-    block and lace; ``feature`` counts tracks, clusters, blocks, packets and cues and gives
-    duration, mean and spread of the samples. Null texts are empty ones (64 zero samples);
-    equal texts give equal values; a null doc_id stays null; other columns are not read.
+    The files are the column that ``store_texts`` makes; only those bytes are read. ``payload_*``
+    and ``tail_crc32`` are over the packets that the parser finds, in order of block and lace;
+    ``feature`` counts tracks, clusters, blocks, packets and cues and gives the last packet's
+    time, mean and spread of the samples. Null texts are empty ones (64 zero samples); equal
+    texts give equal values; a null doc_id stays null; repeated rows repeat; an empty table
+    gives no rows; other columns are not read.
     """
 
     def rows(batch: Iterator[dict]) -> Iterator[dict]:
         for r in batch:
-            media = mux_samples(padded(r["body"]))
-            yield {"doc_id": r["doc_id"], "n_bytes": len(r["body"]), **digest(media)}
+            yield {"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], **digest(r["media"])}
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return map_rows(docs.select("doc_id", text_bytes().alias("body")), rows, schema)
+    return map_rows(store_texts(docs), rows, schema)
 
 
 def digest(media: bytes) -> dict:

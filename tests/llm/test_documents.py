@@ -11,8 +11,10 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from lexweave.llm import bytebpe, licenses, linededup, matroska, packing, quality, queries, simhash, tokenstore
-from tests.llm.helpers import PROSE, ROWS, ascii_lower, documents, empty, tuples, words
+from tests.llm.helpers import LONG, PROSE, ROWS, ascii_lower, documents, empty, tuples, words
 
 
 def test_quality_statistics(spark):
@@ -231,19 +233,30 @@ def test_byte_bpe(spark, monkeypatch):
             assert bpe.decode(bpe.encode(text)) == text.encode()
 
 
+def _plain_feature(payload):
+    """The feature of a payload by arithmetic on its length and samples alone."""
+    packets = -(-len(payload) // 1024)
+    blocks, clusters = -(-packets // 8), -(-packets // 128)
+    samples = np.frombuffer(payload, np.uint8).astype(np.float64)
+    last = (packets - 1) * 1024 * 1000 // 8000
+    return f"tracks=1;clusters={clusters};blocks={blocks};packets={packets};cues={clusters};last_ms={last};mean={samples.mean():.4f};spread={samples.std():.4f}"
+
+
 def test_media(spark):
-    rows = {r.doc_id: r for r in matroska.media_digest(documents(spark)).collect()}
+    want = []
     for i, t, *_ in ROWS:
-        if i is not None:
-            body = (t or "").encode()
-            payload = body + bytes(max(64, -(-len(body) // 64) * 64) - len(body))
-            r = rows[i]
-            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-    assert rows[4].media_sha256 == rows[5].media_sha256
+        body = (t or "").encode()
+        payload = body + bytes(max(64, -(-len(body) // 64) * 64) - len(body))
+        media = matroska.mux_samples(payload)
+        want.append((i, len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), _plain_feature(payload)))
+    columns = "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    assert tuples(matroska.media_digest(documents(spark)), *columns) == sorted(want, key=repr)
     assert matroska.media_digest(empty(spark)).count() == 0
     stored = matroska.store_texts(documents(spark))
     packets = matroska.packet_table(stored).where("key = 6").orderBy("block", "lace").collect()
-    assert sum(p.length for p in packets) == rows[6].payload_bytes and packets[0].time_ns == 0
+    assert sum(p.length for p in packets) == len(LONG.encode()) + -len(LONG.encode()) % 64
+    assert [p.time_ns for p in packets] == [i * 128_000_000 for i in range(len(packets))]
+    assert matroska.packet_table(stored.withColumn("media", F.lit(None).cast("binary"))).count() == 0
 
 
 def test_media_parser_reads_other_lacing():
@@ -254,6 +267,9 @@ def test_media_parser_reads_other_lacing():
     group = m.element(m.BLOCK_GROUP, m.element(m.BLOCK, b"\x82\x00\x05\x02" + xiph) + m.element(m.REFERENCE_BLOCK, b"\x01"))
     cluster = m.unsigned(m.CLUSTER_TIMESTAMP, 7) + group + m.element(m.SIMPLE_BLOCK, b"\x81\x00\x00\x04" + fixed)
     unknown = m.CLUSTER.to_bytes(4, "big") + b"\xff" + cluster  # a cluster of unknown size
+    timed = m.element(m.BLOCK_GROUP, m.element(m.BLOCK, b"\x81\x00\x09\x02" + xiph) + m.unsigned(m.BLOCK_DURATION, 30))
+    laced = m.parse(m.element(m.SEGMENT, m.element(m.CLUSTER, m.unsigned(m.CLUSTER_TIMESTAMP, 1) + timed)))["packets"]
+    assert [p["time"] // 10**6 for p in laced] == [10, 20, 30] and all(p["keyframe"] for p in laced)
     data = m.element(m.EBML, b"") + m.SEGMENT.to_bytes(4, "big") + b"\xff" + unknown + m.element(m.CUES, b"")
     found = m.parse(data)["packets"]
     assert [data[p["start"] : p["end"]] for p in found] == [*frames, b"1234", b"5678"]
