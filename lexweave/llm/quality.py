@@ -32,10 +32,13 @@ class QualityParams:
     max_repeat_percent: int = 50
     iterations: int = 50
     smoothing: float = 1.0
-    start_bad: float = 0.02
     threshold: float = 0.5
 
 
+#: Only the posterior decides; the base of the query's contract stays out.
+POSTERIOR_ONLY = QualityParams(min_words=0, max_repeat_percent=100)
+
+
 def _c(name: str) -> Column:
     return F.col(_P + name)
 
@@ -124,7 +127,8 @@ def rules() -> dict[str, Column]:
         "repeats": bad(repeats >= 0.4),
         "lines": bad(lines >= F.greatest(F.lit(3.0), n / 40)),
         "sentences": good((stops >= 0.01) & (stops <= 0.5) & (bangs < 0.1)),
-        "vocabulary": good((distinct >= F.when(n < 2000, 0.25).otherwise(0.05)) & (symbols < 0.1)),
+        # long texts use their words again: the share falls with the root of the length
+        "vocabulary": good((distinct >= 0.25 * F.least(F.lit(1.0), F.sqrt(2000 / n))) & (symbols < 0.1)),
         "plain": good((symbols < 0.1) & (shouts < 0.2) & (bangs < 0.1) & (repeats < 0.3)),
     }
 
@@ -154,12 +158,13 @@ def estimate(counts: dict[int, int], n_rules: int, p: QualityParams) -> dict[int
     """EM over pattern counts; the posterior probability of "good" for each pattern.
 
     Each rule has two chances to vote, one for each class, so that a rule which votes for
-    nearly everything has little to say; their ratio is its accuracy. The start takes
-    documents with a detector's vote as bad. Smoothing keeps chances off 0 and 1.
+    nearly everything has little to say; their ratio is its accuracy. The start is the share
+    of good votes among a pattern's votes, one more of each kind, so that no rule decides alone.
+    Smoothing keeps chances off 0 and 1.
     """
     patterns = sorted(counts)
     votes = {x: _votes(x, n_rules) for x in patterns}
-    post = {x: p.start_bad if 0 in votes[x] else 1 - p.start_bad for x in patterns}
+    post = {x: (votes[x].count(2) + 1) / (len(votes[x]) - votes[x].count(1) + 2) for x in patterns}
     total = sum(counts.values())
     for _ in range(p.iterations):
         good = sum(counts[x] * post[x] for x in patterns)
@@ -174,15 +179,16 @@ def estimate(counts: dict[int, int], n_rules: int, p: QualityParams) -> dict[int
     return post
 
 
-def score(docs: DataFrame, params: QualityParams = QualityParams(), narrow: bool = False) -> DataFrame:
+def score(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """``docs`` with statistics, ``base_failed``, ``posterior`` and ``kept`` (prefixed names).
 
-    ``narrow`` first reduces the rows to doc_id and statistics and keeps those in the shared
-    folder; otherwise the statistics are computed again where the result is used.
+    The statistics are computed again where the result is used.
     """
-    d = with_statistics(docs.select("doc_id", "text") if narrow else docs).withColumn(_P + "pattern", _pattern())
-    if narrow:
-        d = checkpointed(d.drop("text"))
+    return _judged(with_statistics(docs).withColumn(_P + "pattern", _pattern()), params)
+
+
+def _judged(d: DataFrame, params: QualityParams) -> DataFrame:
+    """Posterior and verdict of rows with statistics and pattern."""
     counts = {r["pattern"]: r["n"] for r in vote_counts(d).collect()}  # at most 3^R rows
     post = estimate(counts, len(rules()), params)
     table = F.create_map(*(F.lit(v) for x in sorted(post.items()) for v in x)) if post else F.create_map().cast("map<int,double>")
@@ -198,7 +204,8 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> D
     rows repeat and count as often; an empty table gives no rows; other columns, whatever
     their names, are not read.
     """
-    d = score(docs, params, narrow=True)
+    d = checkpointed(with_statistics(docs.select("doc_id", "text")).withColumn(_P + "pattern", _pattern()).drop("text"))
+    d = _judged(d, params)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
     return d.select("doc_id", *((F.round(_c(x), 6) if x == "posterior" else _c(x)).alias(x) for x in names))
 
@@ -211,11 +218,12 @@ def oracle(p: QualityParams = QualityParams()) -> str:
         ("n_words < 50", "bad"), (f"word_chars / {n} < 1.8 OR word_chars / {n} > 40", "bad"), (f"n_symbols / {n} >= 0.25", "bad"), (f"n_shouts / {n} >= 0.4", "bad"),
         (f"n_bangs / {n} >= 0.25", "bad"), (f"n_repeat_words / {n} >= 0.4", "bad"), (f"n_dup_lines >= greatest(3.0, {n} / 40)", "bad"),
         (f"n_stops / {n} BETWEEN 0.01 AND 0.5 AND n_bangs / {n} < 0.1", "good"),
-        (f"n_distinct / {n} >= CASE WHEN {n} < 2000 THEN 0.25 ELSE 0.05 END AND n_symbols / {n} < 0.1", "good"),
+        (f"n_distinct / {n} >= 0.25 * least(1.0, sqrt(2000 / {n}::DOUBLE)) AND n_symbols / {n} < 0.1", "good"),
         (f"n_symbols / {n} < 0.1 AND n_shouts / {n} < 0.2 AND n_bangs / {n} < 0.1 AND n_repeat_words / {n} < 0.3", "good"),
     ]
     mask = ", ".join(f"CASE WHEN {when} THEN 1 ELSE 0 END" for when, _ in votes)
-    any_bad = " OR ".join(f"v[{j + 1}] = 1" for j, (_, kind) in enumerate(votes) if kind == "bad")
+    cast = lambda want: " + ".join(f"v[{j + 1}]" for j, (_, kind) in enumerate(votes) if kind == want)
+    start = f"({cast('good')} + 1) / ({cast('good')} + {cast('bad')} + 2)::DOUBLE"
     rules = range(1, len(votes) + 1)
     s = f"{p.smoothing}::DOUBLE"
     hit = lambda j, x: f"list_sum(list_transform(range(1, len(ns) + 1), lambda i: ns[i] * vs[i][{j}] * ({x})))"
@@ -235,7 +243,7 @@ def oracle(p: QualityParams = QualityParams()) -> str:
 ), pat AS (SELECT v, count(*) AS n FROM voted GROUP BY v
 ), lists AS (SELECT list(v ORDER BY v) AS vs, list(n ORDER BY v) AS ns, sum(n)::DOUBLE AS total FROM pat
 ), em(it, post) AS (
-  SELECT 0, (SELECT list(CASE WHEN {any_bad} THEN {p.start_bad}::DOUBLE ELSE {1 - p.start_bad}::DOUBLE END ORDER BY v) FROM pat)
+  SELECT 0, (SELECT list({start} ORDER BY v) FROM pat)
   UNION ALL
   SELECT it + 1, list_transform(range(1, len(ns) + 1), lambda i: 1 / (1 + exp(-greatest(-60.0, least(60.0, ln((good + {s}) / (total - good + {s})) + {total})))))
   FROM (SELECT *, [{a}] AS a, [{b}] AS b FROM (SELECT *, list_sum(list_transform(range(1, len(ns) + 1), lambda i: ns[i] * post[i])) AS good FROM em, lists WHERE it < {p.iterations}) e) f
@@ -245,6 +253,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM voted JOIN post ON voted.v = post.v"""
 
 
-def keep_good(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns."""
+def keep_good(docs: DataFrame, params: QualityParams = POSTERIOR_ONLY) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their own columns.
+
+    The posterior replaces a filter that all rules must pass: a document goes if the rules that
+    voted on it, weighed by what they have proved to be worth, make it bad. Null and empty texts
+    are judged by the votes on no words; null doc_ids and repeated rows are judged like any
+    other; columns of any name are kept; an empty table gives no rows.
+    """
     return score(docs, params).where(_c("kept")).select(*(F.col(f"`{x}`") for x in docs.columns))
