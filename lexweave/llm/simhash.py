@@ -185,26 +185,29 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4) -> DataFrame:
 
     Texts without words (null, empty, white space) have fingerprint zero and are linked like
     any other. The component is that of all fingerprints reachable over links of ``max_bits``
-    or fewer differing bits; its id is the least doc_id in it, nulls aside (null if it has no
-    other). Repeated rows repeat; an empty table gives no rows; other columns are not read.
+    or fewer differing bits (an odd number raises if a bucket is larger than ``BUCKET_LIMIT``);
+    its id is the least doc_id in it, nulls aside (null if it has no other). Repeated rows repeat; an empty table gives no rows; other columns are not read.
     """
     found = components(docs, max_bits)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = 0.8, width: int = 5, **limits: int) -> DataFrame:
     """``docs`` with one row of each component of texts whose ``width``-word shingles have a
     Jaccard similarity of ``least`` or more: that with the least doc_id.
 
-    The links are those of ``shingles``, not fingerprints within a few bits: near copies at 0.8
-    differ in more bits than blocks can find. Rows of one doc_id with different texts are
-    different documents. Of rows with the least doc_id in a component, that with the least hash
-    of its words stays, then that with the least text; null doc_ids come last.
+    The links are those of ``shingles`` (which has the ``limits``), not fingerprints within a
+    few bits: near copies at 0.8 differ in more bits than blocks can find. Rows of one doc_id
+    with different texts are different documents. Of rows with the least doc_id in a component,
+    that with the least hash of its words stays, then that with the least text (null first), of
+    repeated rows any one; null doc_ids come last. Texts without words (null, empty, white
+    space) are one group; columns of any name are kept; an empty table gives no rows.
     """
     rows = shingles.with_nodes(docs, "__near_node")
-    found = shingles.components(docs.select("doc_id", "text"), least, width)
+    found = shingles.components(docs.select("doc_id", "text"), least, width, **limits)
     # nulls are the greatest here: a row without doc_id is kept only if no row has one
-    heads = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("head"))
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    heads = found.groupBy("root").agg(F.min(head).alias("head"))
     heads = heads.select(F.col("head.doc_id").alias("__near_id"), F.col("head.fp").alias("__near_fp"))
     kept = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_node") == F.col("__near_fp")), "left_semi")
     one = Window.partitionBy("doc_id", "__near_node").orderBy(F.col("text").asc_nulls_first())

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import random
 
-from lexweave.llm import simhash
+import pytest
+
+from lexweave.llm import shingles, simhash
+from lexweave.llm.graph import connected_components
 from tests.llm.helpers import documents
 
 LEAST, WIDTH = 0.8, 5
 
 
-def shingles(text):
+def word_shingles(text):
     w = (text or "").lower().split()
     return {tuple(w[i : i + WIDTH]) for i in range(max(1, len(w) - WIDTH + 1))} if w else set()
 
 
 def similar(a, b):
-    a, b = shingles(a), shingles(b)
+    a, b = word_shingles(a), word_shingles(b)
     return a == b or (bool(a and b) and len(a & b) / len(a | b) >= LEAST)
 
 
@@ -66,12 +69,25 @@ def corpus(seed=5):
     return [" ".join(x) for x in out]
 
 
-def test_keep_one_against_all_pairs(spark):
+@pytest.mark.parametrize("limits", [{}, {"bucket_nodes": 4, "clump_bytes": 3000}])
+def test_keep_one_against_all_pairs(spark, limits):
+    """With the usual limits, and with ones that spread most buckets and clumps over all tasks."""
     texts = corpus()
     want = plain_heads(texts)
     assert 100 < len(want) < len(texts) - 150
     docs = documents(spark, [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)])
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, **limits).collect()) == want
+
+
+def test_spread_links_against_all_pairs(spark):
+    """All texts as one clump and blocks of seven: no link between components is lost."""
+    texts = list(dict.fromkeys(t for t in corpus(7) if t))[:140]
+    sets = [shingles.shingle_set(t.encode()) for t in texts]
+    rows = spark.createDataFrame([(0, i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "root bigint, node bigint, shingles binary").repartition(5)
+    found = connected_components(shingles.spread_links(rows, LEAST, block_nodes=7)).collect()
+    root = {i: i for i in range(len(texts))} | {r.node: r.root for r in found}
+    want = plain_heads(texts)
+    assert sorted({root[i] for i in root}) == want
 
 
 def test_repeated_doc_ids_with_different_texts(spark):
