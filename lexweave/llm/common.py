@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes handed to or from Python at a time (a longer row goes alone). Texts are
@@ -50,10 +50,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bounded_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A stored table marked for broadcast if its rows, of ``row_bytes`` each, are counted to be
-    under ``BROADCAST_BYTES``; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def bounded_if_small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """A stored table marked for broadcast if the sum of its rows' bytes is measured to be under
+    ``BROADCAST_BYTES``; else as it is, for a shuffled join."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -19,16 +19,15 @@ from urllib.parse import quote, urlsplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import checkpointed, map_rows, stored
+from lexweave.llm.common import bounded_if_small, checkpointed, map_rows, stored
 
 #: Bytes of a segment, least payload that is revisited, time written (it is no input).
 SEGMENT_BYTES, LEAST_PAYLOAD, DATE = 1 << 18, 100, "2020-01-01T00:00:00Z"
 # Names of the WARC 1.1 standard.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 KINDS = ("response", "revisit", "request", "metadata")
-#: Bytes that a shared payload's row takes in a join, and parts over which the captures that
-#: refer to one record are dealt.
-SHARED_BYTES, REFER_PARTS = 512, 16
+#: Parts over which the captures that refer to one record are dealt.
+REFER_PARTS = 16
 
 
 def record_id(kind: str, page_id: int | None, uri: str | None, digest: str) -> str:
@@ -154,7 +153,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     d = d.withColumn("digest", F.sha2("body", 256))
     alike = d.where(F.octet_length("body") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n"))
     shared = checkpointed(alike.where("n > 1 and first is not null").select("digest", "first"))
-    d = d.join(shared, "digest", "left")
+    d = d.join(bounded_if_small(shared, F.octet_length("digest") + F.coalesce(F.octet_length("first.url"), F.lit(0)) + 64), "digest", "left")
 
     def rows(batch: Iterator[dict]) -> Iterator[dict]:
         held = bytearray()
