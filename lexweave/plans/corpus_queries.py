@@ -327,15 +327,31 @@ def money_format(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.money(tx.to_cents(F.col("p_retailprice"))).alias("shown"))
 
 
-@q("SELECT doc_id, '#/title/' || url_encode(lang) || '/chapter/' || url_encode(source) || '/section/' || url_encode(CAST(doc_id AS VARCHAR) || ' a') AS href FROM documents")
+@q("SELECT doc_id, '#/t/' || url_encode(lang) || '/c/' || url_encode(source) || '/s/' || url_encode(CAST(doc_id AS VARCHAR) || ' a') || CASE WHEN doc_id % 3 = 0 THEN '/p/b' ELSE '' END AS href FROM documents")
 def route_hrefs(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.section_href(F.col("lang"), F.col("source"), F.concat(F.col("doc_id"), F.lit(" a"))).alias("href"))
+    sub = F.when(F.col("doc_id") % 3 == 0, "b")
+    return table(spark, d, "documents").select("doc_id", tx.section_href(F.col("lang"), F.col("source"), F.concat(F.col("doc_id"), F.lit(" a")), sub).alias("href"))
 
 
-@q("SELECT doc_id, 'section' AS kind, lang AS title, source AS chapter, CAST(doc_id AS VARCHAR) || ' a' AS section FROM documents")
+@q("SELECT doc_id, 'section' AS kind, lang AS title, source AS chapter, CAST(doc_id AS VARCHAR) || ' a' AS section, CASE WHEN doc_id % 3 = 0 THEN 'b' END AS subsection FROM documents")
 def route_parse(spark, d):
     h = route_hrefs(spark, d)
-    return h.select("doc_id", tx.parse_route(F.col("href")).alias("r")).select("doc_id", "r.kind", "r.title", "r.chapter", "r.section")
+    return h.select("doc_id", tx.parse_route(F.col("href")).alias("r")).select("doc_id", "r.kind", "r.title", "r.chapter", "r.section", "r.subsection")
+
+
+@q("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '#/search?q=' || url_encode(event_type || ' x') || '&sort=citation' WHEN 1 THEN '#/index/' || lower(substr(event_type, 1, 1)) || '/topic/t' || event_id || '?q=' || url_encode(event_type)
+ WHEN 2 THEN '#/infractions/' || event_type || '/entry/' || event_id ELSE '?chapter=1&section=' || event_id END AS href, CASE event_id % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'index' WHEN 2 THEN 'infractions' ELSE 'section' END AS kind,
+ CASE event_id % 4 WHEN 0 THEN event_type || ' x' WHEN 1 THEN event_type END AS query, CASE event_id % 4 WHEN 1 THEN 't' || event_id WHEN 2 THEN CAST(event_id AS VARCHAR) WHEN 3 THEN CAST(event_id AS VARCHAR) END AS target FROM events""")
+def route_kinds(spark, d):
+    """Search, index, infraction and old addresses built and read back."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.col("event_id").cast("string").alias("n"))
+    k, t, none = F.col("event_id") % 4, F.col("event_type"), F.lit(None).cast("string")
+    href = (
+        F.when(k == 0, tx.search_href(q=F.concat(t, F.lit(" x")), field=F.lit("statute"), sort=F.lit("citation"))).when(k == 1, tx.index_href(t, F.concat(F.lit("t"), "n"), t, none, none))
+        .when(k == 2, tx.infractions_href(t, F.col("n"), none)).otherwise(F.concat(F.lit("?chapter=1&section="), "n"))
+    )
+    r = e.select("event_id", href.alias("href")).withColumn("r", tx.parse_route(F.col("href")))
+    return r.select("event_id", "href", "r.kind", "r.query", F.coalesce("r.topic", "r.entry", "r.section").alias("target"))
 
 
 @q("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM documents")
@@ -343,9 +359,11 @@ def escape_html(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.escape_html(F.col("text")).alias("html"))
 
 
-@q("SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\b(\\d+[A-Za-z]*-\\d+[A-Za-z]*)\\b', 1), lambda x: lower(x)))) AS refs FROM documents WHERE regexp_matches(text, '\\b\\d+[A-Za-z]*-\\d+[A-Za-z]*\\b')")
+@q("""SELECT l_orderkey, l_linenumber, l_suppkey || '-' || l_partkey || 'a' AS sections, l_suppkey || 'b,' || l_partkey AS chapters FROM lineitem""")
 def legal_references(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sort_array(tx.legal_references(F.col("text"))).alias("refs")).where("size(refs) > 0")
+    said = F.array(F.concat(F.lit("See Section "), "l_suppkey", F.lit("-"), "l_partkey", F.lit("A and section "), "l_suppkey", F.lit("-"), "l_partkey", F.lit("a; 9-9.")), F.concat(F.lit("chapters "), "l_suppkey", F.lit("B, Chapter "), "l_partkey"))
+    r = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.legal_references(said).alias("r"))
+    return r.select("l_orderkey", "l_linenumber", F.array_join("r.sections", ",").alias("sections"), F.array_join("r.chapters", ",").alias("chapters"))
 
 
 @q("SELECT p_partkey, '10-' || CAST(p_size AS VARCHAR) || '(' || lower(substr(p_name, 1, 1)) || ')(' || CAST(p_size AS VARCHAR) || ')' AS citation FROM part WHERE regexp_matches(substr(p_name, 1, 1), '[A-Za-z]')")
@@ -376,9 +394,22 @@ def timestamps(spark, d):
     return table(spark, d, "events").select("event_id", tx.iso_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("iso"), tx.iso_timestamp(F.col("event_id").cast("string")).alias("epoch"))
 
 
-@q("SELECT n_nationkey, CASE WHEN starts_with(lower(n_name), 'article ') THEN 'Article ' ELSE 'Chapter ' END || CASE WHEN n_nationkey = 0 THEN '0' ELSE CAST(n_nationkey AS VARCHAR) END AS label FROM nation")
+@q("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'Article ' || n_nationkey || 'B' WHEN 1 THEN 'Former Chapter ' || n_nationkey ELSE 'Chapter ' || n_nationkey || 'a' END AS label FROM nation")
 def chapter_labels(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", tx.chapter_label(F.lpad(F.col("n_nationkey").cast("string"), 4, "0"), F.col("n_name")).alias("label"))
+    n = F.lpad(F.col("n_nationkey").cast("string"), 4, "0")
+    k = F.col("n_nationkey") % 3
+    number = F.when(k == 0, F.concat(F.lit("art_"), n, F.lit("b"))).when(k == 1, F.concat(F.lit("former-"), n)).otherwise(F.concat(n, F.lit("a")))
+    return table(spark, d, "nation").select("n_nationkey", tx.chapter_label(number).alias("label"))
+
+
+@q("""SELECT p_partkey, upper(substr(p_name, 1, 1)) AS letter, CASE WHEN p_size % 2 = 0 THEN '§ ' || p_size ELSE '§§ ' || p_size || '–' || p_partkey END AS label, p_name AS heading, lower(substr(p_name, 1, 1)) AS topic, lower(substr(p_name, 1, 1)) AS query FROM part""")
+def reader_labels(spark, d):
+    """Group letters, navigation labels, headings without their citation."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    cited = F.when(F.col("p_size") % 2 == 0, F.array(size)).otherwise(F.array(size, key))
+    heading = tx.compact_heading(F.concat(F.lit("Sec. 1-"), size, F.lit(". "), "p_name"))
+    name = F.concat(F.lit("- "), "p_name")
+    return table(spark, d, "part").select("p_partkey", tx.group_letter(name).alias("letter"), tx.navigation_label(cited, F.lit("x")).alias("label"), heading.alias("heading"), tx.topic_letter(name).alias("topic"), tx.query_letter(name).alias("query"))
 
 
 # parsing and artifacts ------------------------------------------------------------------------

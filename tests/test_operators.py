@@ -134,7 +134,7 @@ def test_text_functions(spark):
         tx.expand_range(F.lit("20-341s"), F.lit("20-341bb")).alias("letters"), tx.expand_range(F.lit("1-2"), F.lit("1-5")).alias("numbers"), tx.expand_range(F.lit("1-2"), F.lit("2-5")).alias("neither"),
         tx.clean_citation(F.lit("14-100a(d1B*"), F.lit("14-100a")).alias("cited"), tx.to_cents(F.lit("117.005")).alias("cents"), tx.money(F.lit(123456)).alias("money"),
         tx.natural_key(F.lit("10-2")).alias("n10"), tx.natural_key(F.lit("2-9")).alias("n2"), tx.slug(F.lit(" Über §1 ")).alias("slug"), tx.iso_timestamp(F.lit("0")).alias("iso"), tx.iso_timestamp(F.lit("x")).alias("bad"),
-        tx.parse_route(F.lit("#/title/1/chapter/2%20a/section/x")).alias("route"), tx.leading_subsection(F.lit(" (a) Text")).alias("sub"), tx.percent(F.lit(1), F.lit(0)).alias("inf"),
+        tx.parse_route(F.lit("#/t/1/c/2%20a/s/x")).alias("route"), tx.leading_subsection(F.lit(" (a) Text")).alias("sub"), tx.percent(F.lit(1), F.lit(0)).alias("inf"),
         tx.topic_letter(F.lit("§")).alias("t"), tx.shard_letter(F.lit("§")).alias("s"), tx.query_letter(F.lit("1")).alias("q"), tx.normalize_text(F.lit("Ça § ﬁx—a-b")).alias("norm"), tx.token_string(F.lit("-a b--c- d-e")).alias("tok"),
     ).first()
     assert len(r.letters) == 10 and r.letters[-1] == "20-341bb" and r.numbers == ["1-2", "1-3", "1-4", "1-5"] and r.neither == ["1-2", "2-5"]
@@ -143,6 +143,22 @@ def test_text_functions(spark):
     assert (r.t, r.s, r.q, r.norm, r.tok) == ("a", "other", None, "ca fix a-b", " a b c d-e ")
 
 
+def test_routes(spark):
+    cases = {
+        "": ("home", None, None), "#/": ("home", None, None), "#/t/1": ("title", "1", None), "#/t/1/c/2": ("chapter", "1", "2"), "#/t/1/c/2/s/3/p/a": ("section", "1", "2"), "#/t/1/c": ("not-found", None, None),
+        "#/t": ("not-found", None, None), "#/search?q=a+b&title=9": ("search", "9", None), "#/search/x": ("not-found", None, None), "#/index/Q": ("index", None, None), "#/index/qq": ("not-found", None, None),
+        "#/infractions/a/entry": ("not-found", None, None), "#/a": ("about", None, None), "?chapter=5": ("chapter", None, "5"), "?chapter=5&section=6#/": ("section", None, "5"), "#/nowhere": ("not-found", None, None),
+    }
+    d = spark.createDataFrame([(x,) for x in cases], "h string").select("h", tx.parse_route(F.col("h")).alias("r"))
+    rows = {r.h: r.r for r in d.collect()}
+    assert {h: (r.kind, r.title, r.chapter) for h, r in rows.items()} == cases
+    assert rows["#/t/1/c/2/s/3/p/a"].subsection == "a" and rows["#/index/Q"].letter == "q"
+    assert (rows["#/search?q=a+b&title=9"].query, rows["#/search?q=a+b&title=9"].sort, rows["#/search?q=a+b&title=9"].within) == ("a b", "relevance", None)
+    none = F.lit(None).cast("string")
+    r = spark.range(1).select(tx.section_href(none, F.lit("1"), F.lit("2")).alias("a"), tx.section_href(F.lit("1"), none, F.lit("2")).alias("b"), tx.infractions_href(none, none, F.lit("x y")).alias("c"), tx.index_href(none, none, none, F.lit("A"), F.lit("B")).alias("d")).first()
+    assert tuple(r) == ("#/", "#/t/1", "#/infractions?q=x%20y", "#/index?heading=A&subheading=B")
+
+
 def test_links_and_shards(spark):
     items = spark.createDataFrame([("a", i, n) for i, n in enumerate([5, 5, 5, 30, 1, 1])] + [("b", 0, 99)], "k string, o int, n int")
     got = sorted(map(tuple, links.pack_shards(items, "k", "o", F.col("n"), 10).collect()))
