@@ -65,6 +65,22 @@ def status_transitions(diff: DataFrame) -> DataFrame:
     return diff.where((F.col("change") == "changed") & F.array_contains("changes", "status")).groupBy("status_before", "status_after").agg(F.count("*").alias("n"))
 
 
+def metadata(sections: DataFrame, keys: list[str], fields: Mapping[str, Column]) -> DataFrame:
+    """What a snapshot's sections say of their titles or chapters: one row a key, ``fields`` are
+    aggregates."""
+    return sections.groupBy(*keys).agg(*(c.alias(n) for n, c in fields.items()))
+
+
+def diff_metadata(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Keys (unique on both sides) that were added, removed or changed, with the changed fields
+    in their order: ``*keys, change, changes``."""
+    side = lambda d, p: d.select(*keys, F.struct(*fields).alias(p))
+    both = side(before, "b").join(side(after, "a"), keys, "full")
+    names = F.array_compact(F.array(*(F.when(F.col("b").isNotNull() & F.col("a").isNotNull() & ~F.col(f"b.{f}").eqNullSafe(F.col(f"a.{f}")), F.lit(f)) for f in fields)))
+    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.size(names) > 0, "changed")
+    return both.select(*keys, change.alias("change"), names.alias("changes")).where("change is not null")
+
+
 def hash_diff(before: DataFrame, after: DataFrame, samples: int = 50) -> DataFrame:
     """Changes of an entity table by id with a content and a resolution hash: ``id, change`` and
     ``sample`` (the first ``samples`` ids of a kind are shown in a report)."""
@@ -143,6 +159,20 @@ def classify_overlay(base: DataFrame, overlay: DataFrame) -> DataFrame:
     )
 
 
+def overlay_changes(base: DataFrame, overlay: DataFrame) -> DataFrame:
+    """The change list of an edition: ``chapter_id, overlay_id, kind, presentation`` and
+    ``previous``, the sections that a row replaces (all of an aggregate's, else the primary
+    one, none for an addition) in order of their ids. Rows in error are no changes."""
+    found = classify_overlay(base, overlay).where("mode <> 'error'")
+    replaced = F.when(F.col("mode") == "aggregate", F.col("base_ids")).when(F.col("mode") == "single", F.array("primary_id")).otherwise(F.array().cast("array<string>"))
+    d = found.select("chapter_id", "overlay_id", "kind", "presentation", replaced.alias("ids"))
+    section = F.struct(F.col("id"), *(c for c in base.columns if c not in ("chapter_id", "id")))
+    before = d.select("chapter_id", "overlay_id", F.explode("ids").alias("id")).join(base, ["chapter_id", "id"])
+    before = before.groupBy("chapter_id", "overlay_id").agg(F.array_sort(F.collect_list(section)).alias("previous"))
+    none = F.array().cast(before.schema["previous"].dataType)
+    return d.join(before, ["chapter_id", "overlay_id"], "left").select("chapter_id", "overlay_id", "kind", "presentation", F.coalesce("previous", none).alias("previous"))
+
+
 def claimed_twice(base: DataFrame, overlay: DataFrame) -> DataFrame:
     """Base citations that several overlay rows replace."""
     o = overlay.select("chapter_id", F.col("id").alias("overlay_id"), F.explode("citations").alias("c"))
@@ -261,18 +291,21 @@ def gate(found: DataFrame) -> DataFrame:
 def corpus_report(before: DataFrame, after: DataFrame, diff: DataFrame) -> DataFrame:
     """One row of counts before and after, memberships and changes for ``corpus_checks``.
 
-    Every part is one row, so the joins below are of single rows.
+    Titles and chapters are compared by what their sections say of them: name, number and
+    address where the snapshots have such columns, and a chapter's number of sections. Every
+    part is one row, so the joins below are of single rows.
     """
-
-    def counts(df: DataFrame, when: str) -> DataFrame:
-        return df.agg(
-            F.countDistinct("title_number").alias(f"titles_{when}"), F.countDistinct("title_number", "chapter_id").alias(f"chapters_{when}"), F.count("*").alias(f"provisions_{when}")
-        )
-
-    out = counts(before, "before").crossJoin(counts(after, "after"))
-    for name, cols in (("titles", ["title_number"]), ("chapters", ["title_number", "chapter_id"])):
-        b, a = before.select(*cols).distinct(), after.select(*cols).distinct()
-        out = out.crossJoin(a.join(b, cols, "left_anti").agg(F.count("*").alias(f"{name}_added")))
-        out = out.crossJoin(b.join(a, cols, "left_anti").agg(F.count("*").alias(f"{name}_removed"))).withColumn(f"{name}_changed", F.lit(0))
-    summary = diff_summary(diff).select(*(F.col(x).alias(f"provisions_{x}") for x in ("added", "removed", "changed")))
-    return out.crossJoin(summary)
+    out = None
+    levels = {
+        "titles": (["title_number"], {c: F.min(c) for c in ("title_name",) if c in before.columns and c in after.columns}),
+        "chapters": (["title_number", "chapter_id"], {c: F.min(c) for c in ("chapter_number", "chapter_name", "chapter_url") if c in before.columns and c in after.columns} | {"sections": F.count("*")}),
+    }
+    for name, (keys, fields) in levels.items():
+        fields = fields or {"sections": F.lit(1)}
+        b, a = metadata(before, keys, fields), metadata(after, keys, fields)
+        changes = diff_metadata(b, a, keys, list(fields))
+        row = changes.agg(*(F.count_if(F.col("change") == c).alias(f"{name}_{c}") for c in ("added", "removed", "changed")))
+        row = row.crossJoin(b.agg(F.count("*").alias(f"{name}_before"))).crossJoin(a.agg(F.count("*").alias(f"{name}_after")))
+        out = row if out is None else out.crossJoin(row)
+    out = out.crossJoin(before.agg(F.count("*").alias("provisions_before"))).crossJoin(after.agg(F.count("*").alias("provisions_after")))
+    return out.crossJoin(diff_summary(diff).select(*(F.col(x).alias(f"provisions_{x}") for x in ("added", "removed", "changed"))))
