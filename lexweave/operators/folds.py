@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # X of the gutter between the two columns of an index page, where the columns
@@ -13,7 +13,8 @@ GUTTER, BASES, INDENT = 295.0, (123.0, 312.0), 9.0
 
 def visual_lines(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Lines of each page: a word within ``tolerance`` of the line's first word (not of the one
-    before it) is on that line; words run from left to right. A page is one group."""
+    before it) is on that line; words run from left to right. A page is one group, so one page
+    is one task: that is its limit."""
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         rows, line, top = [], -1, None
@@ -42,9 +43,11 @@ def nearest_center(x: Column, centers: Column) -> Column:
     return F.array_min(F.transform(centers, lambda c, i: F.struct(F.abs(c - x).alias("d"), i.alias("i"))))["i"]
 
 
+def carried(value: Column, by: list[str], order: list[str]) -> Column:
+    """The last value that is not null, up to and with each row."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def carry_category(lines: DataFrame, is_category: Column, *order: str) -> DataFrame:
     """Each line with the last category line before it, page by page."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("page").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("category", F.last(F.when(is_category, F.col("text")), ignorenulls=True).over(w)).where(~is_category)
+    return lines.withColumn("category", carried(F.when(is_category, F.col("text")), ["page"], list(order))).where(~is_category)

@@ -74,6 +74,54 @@ def infraction_matches(entries: DataFrame, query: str, limit: int = 3) -> DataFr
     return found.select(F.lit("Infraction").alias("kind"), F.concat(F.lit("Sec. "), F.col("citation")).alias("label"), F.concat("description", F.lit(" · "), "category").alias("subtitle"), "score")
 
 
+def infraction_list(entries: DataFrame, category: str, query: str = "", limit: int = 150) -> DataFrame:
+    """The first ``limit`` entries of a category, in their ``position``, whose citation or
+    description has every word (a page of a list; no word, all entries)."""
+    words = words_of(query)
+    found = entries.where(F.col("category") == category)
+    if words:
+        found = found.where(has_all(F.concat_ws(" ", "citation", "description"), words))
+    return found.orderBy("position").limit(limit)
+
+
+def statute_matches(results: DataFrame, limit: int = 5) -> DataFrame:
+    """Quick-search rows of the first search results (with their ``rank``)."""
+    shown = F.coalesce("citation", F.array_join("citations", "–"))
+    supplement = F.when(F.col("supplement_year").isNotNull(), F.concat(F.lit(" · "), F.col("supplement_year"), F.lit(" Supp."))).otherwise("")
+    subtitle = F.concat("heading", F.lit(" · Title "), "title_number", F.lit(", Chapter "), "chapter_number", supplement)
+    return results.orderBy("rank").limit(limit).select(F.lit("Section").alias("kind"), F.concat(F.lit("Sec. "), shown).alias("label"), subtitle.alias("subtitle"), "rank")
+
+
+def index_matches(topics: DataFrame, entries: DataFrame, query: str, limit: int = 3) -> DataFrame:
+    """Quick-search rows of the subject index: a heading with its number of entries, or an entry
+    under its heading."""
+    top = topic_search(topics, entries, query, limit).drop("total", "truncated")
+    sizes = entries.join(F.broadcast(top.select("topic_id").distinct()), "topic_id", "left_semi").groupBy("topic_id").agg(F.count("*").alias("n"))
+    d = top.join(topics.select("topic_id", "label"), "topic_id").join(sizes, "topic_id", "left").join(entries.select("topic_id", "entry_id", "text"), ["topic_id", "entry_id"], "left")
+    heading = F.concat(F.lit("Subject heading · "), F.format_number(F.coalesce("n", F.lit(0)), 0), F.lit(" entries"))
+    return d.select(F.lit("Index").alias("kind"), "label", F.coalesce("text", heading).alias("subtitle"), "score", "position", "entry_id")
+
+
+def letter_totals(shards: DataFrame, letter: str, count: str) -> DataFrame:
+    """Entries by letter from shard counts: what is no number or below zero counts as none,
+    shards without a letter do not count."""
+    n = F.greatest(F.lit(0).cast("bigint"), F.coalesce(F.col(count).try_cast("bigint"), F.lit(0)))
+    return shards.where(F.col(letter).isNotNull()).groupBy(F.col(letter).alias("letter")).agg(F.sum(n).alias("n"))
+
+
+def by_category(entries: DataFrame, category: str, first: str) -> DataFrame:
+    """Categories in order with their number of entries and the first of them by ``first``."""
+    return entries.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n"), F.min(first).alias("first"))
+
+
+def merged_headings(items: DataFrame, heading: str, position: str) -> DataFrame:
+    """Items of headings that several files have: the heading stands where it comes first, its
+    items follow in order: ``heading, at, nth`` and the item's own columns."""
+    w = Window.partitionBy(heading)
+    d = items.withColumns({"at": F.min(position).over(w), "nth": F.row_number().over(w.orderBy(position))})
+    return d.withColumnRenamed(heading, "heading")
+
+
 def omni_rows(*parts: DataFrame) -> DataFrame:
     """The parts one after another, with their rank."""
     return reduce(DataFrame.unionByName, (p.select("kind", "label", "subtitle", F.lit(i).alias("part")) for i, p in enumerate(parts)))

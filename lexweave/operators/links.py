@@ -32,24 +32,51 @@ def resolution_counts(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def reverse_links(infractions: DataFrame, fees: DataFrame, index: DataFrame) -> DataFrame:
-    """One row per (title, section) with the lists of what points to it.
+def link_rows(infractions: DataFrame, fees: DataFrame, index: DataFrame) -> DataFrame:
+    """What points to a section, one row a link: ``title_number, section, kind, id, role,
+    topic_id, entry_id``. Fee links are distinct by rule and role; index links may repeat.
 
-    Inputs have ``title_number, section`` and their own id columns. Fee links are distinct by
-    rule and role; index links may repeat. The lists of a section are its links, which the
-    three inputs bring partially aggregated.
+    Inputs have ``title_number, section`` and their own id columns. A section that very many
+    links point to is as many rows, never one list.
     """
-    inf = infractions.groupBy("title_number", "section").agg(F.sort_array(F.collect_list("id")).alias("infractions"))
-    fee = fees.dropDuplicates(["title_number", "section", "id", "role"]).groupBy("title_number", "section").agg(F.sort_array(F.collect_list(F.struct("id", "role"))).alias("fee_rules"))
-    idx = index.groupBy("title_number", "section").agg(F.sort_array(F.collect_list(F.struct("topic_id", "entry_id"))).alias("index_entries"))
-    keys = ["title_number", "section"]
-    return inf.join(fee, keys, "full").join(idx, keys, "full")
+    keys, none = ["title_number", "section"], F.lit(None).cast("string")
+    columns = lambda kind, **own: [*keys, F.lit(kind).alias("kind"), *(own.get(c, none).alias(c) for c in ("id", "role", "topic_id", "entry_id"))]
+    out = infractions.select(*columns("infraction", id=F.col("id")))
+    out = out.unionByName(fees.select(*columns("fee", id=F.col("id"), role=F.col("role"))).distinct())
+    return out.unionByName(index.select(*columns("index", topic_id=F.col("topic_id"), entry_id=F.col("entry_id"))))
+
 
+def link_counts(found: DataFrame) -> DataFrame:
+    """Links of each kind per section, from partial counts."""
+    of = lambda kind: F.count_if(F.col("kind") == kind).alias(f"n_{kind}")
+    return found.groupBy("title_number", "section").agg(of("infraction"), of("fee"), of("index"))
 
-def section_context(links: DataFrame, infractions: DataFrame) -> DataFrame:
-    """Entries that a section's links name, in link order; links without an entry give none."""
-    at = links.select("title_number", "section", F.posexplode("infractions").alias("pos", "id"))
-    return at.join(infractions, "id").select("title_number", "section", "pos", *infractions.columns)
+
+def reverse_links(infractions: DataFrame, fees: DataFrame, index: DataFrame) -> DataFrame:
+    """The links of a section as lists, for a shard of JSON (``link_rows`` has them as rows):
+    one row per (title, section), infractions, fee rules and index entries sorted."""
+    f = link_rows(infractions, fees, index)
+    of = lambda kind, c: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, c)))
+    return f.groupBy("title_number", "section").agg(
+        of("infraction", F.col("id")).alias("infractions"), of("fee", F.struct("id", "role")).alias("fee_rules"), of("index", F.struct("topic_id", "entry_id")).alias("index_entries")
+    )
+
+
+def section_context(found: DataFrame, infractions: DataFrame, fees: DataFrame, entries: DataFrame) -> DataFrame:
+    """What a reader sees beside a section, from link rows: ``title_number, section, kind, pos,
+    id, roles, text``.
+
+    Infractions and fee rules (``id, position, text``) once each, in the order of their
+    artifact, rules with their sorted roles; index entries (``topic_id, entry_id, position,
+    text``) for every link. A link to something that is not there gives no row.
+    """
+    keys = ["title_number", "section"]
+    once = found.where("kind <> 'index'").groupBy(*keys, "kind", "id").agg(F.sort_array(F.collect_set("role")).alias("roles"))
+    own = infractions.select(F.lit("infraction").alias("kind"), "id", "position", "text").unionByName(fees.select(F.lit("fee").alias("kind"), "id", "position", "text"))
+    ruled = once.join(own, ["kind", "id"]).select(*keys, "kind", F.col("position").alias("pos"), "id", "roles", "text")
+    listed = found.where("kind = 'index'").select(*keys, "topic_id", "entry_id").join(entries, ["topic_id", "entry_id"])
+    none = F.array().cast("array<string>")
+    return ruled.unionByName(listed.select(*keys, F.lit("index").alias("kind"), F.col("position").alias("pos"), F.concat_ws("/", "topic_id", "entry_id").alias("id"), none.alias("roles"), "text"))
 
 
 def text_references(docs: DataFrame, places: DataFrame, pattern: str) -> DataFrame:
@@ -58,6 +85,15 @@ def text_references(docs: DataFrame, places: DataFrame, pattern: str) -> DataFra
     return refs.join(places.select("key", F.col("id").alias("to_id")), "key").select("from_id", "key", "to_id")
 
 
+def chapter_lookup(wanted: DataFrame, chapters: DataFrame) -> DataFrame:
+    """The first chapter (in catalog order) with an equal comparable number, in the wanted title
+    or, where none is given, in any: ``wanted, title, chapter_id``."""
+    norm = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"^0+(?=\d)", "")
+    c = chapters.select(norm(F.col("number")).alias("n"), norm(F.col("title_number")).alias("t"), "chapter_id", "position")
+    j = wanted.join(c, (norm(F.col("wanted")) == F.col("n")) & F.coalesce(norm(F.col("title")) == F.col("t"), F.lit(True)))
+    return j.groupBy("wanted", "title").agg(F.min_by("chapter_id", "position").alias("chapter_id"))
+
+
 def title_lookup(wanted: DataFrame, titles: DataFrame) -> DataFrame:
     """The first title (in catalog order) with an equal comparable number."""
     norm = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"^0+(?=\d)", "")

@@ -136,6 +136,19 @@ def search(docs: DataFrame, text: str, options: Options = Options(), limit: int
     return matches(docs, text, options).orderBy(*order(options.sort)).limit(limit)
 
 
+def page(docs: DataFrame, text: str, options: Options = Options(), number: int = 1, size: int = 50) -> DataFrame:
+    """One page of the results, the first is 1."""
+    options = options.normalized()
+    return matches(docs, text, options).orderBy(*order(options.sort)).offset((number - 1) * size).limit(size)
+
+
+def visible(sections: DataFrame, hide_repealed: bool, selected: str | None = None) -> DataFrame:
+    """Sections for navigation: repealed ones may be hidden but for the selected one."""
+    if not hide_repealed:
+        return sections
+    return sections.where((F.col("status") != "repealed") | (F.col("id") == F.lit(selected).cast("string")).eqNullSafe(F.lit(True)))
+
+
 def total_matches(docs: DataFrame, text: str, options: Options = Options()) -> DataFrame:
     return matches(docs, text, options).agg(F.count("*").alias("total_matches"))
 

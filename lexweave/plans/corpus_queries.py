@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as tx
@@ -63,30 +62,46 @@ def citation_locations(spark, d):
     return _places(spark, d).select("key", "id")
 
 
-def _links(spark, d):
+def _link_parts(spark, d):
     r = links.resolve(_refs(spark, d), _places(spark, d)).where("to_id is not null")
     base = r.select(F.col("to_title_number").alias("title_number"), F.col("to_key").alias("section"), "l_orderkey", "l_linenumber")
     inf = base.where("l_linenumber <= 2").select("title_number", "section", F.concat_ws("/", "l_orderkey", "l_linenumber").alias("id"))
-    fee = base.where("l_linenumber = 3").select("title_number", "section", (F.col("l_orderkey") % 10).cast("string").alias("id"), F.lit("affected").alias("role"))
-    idx = base.where("l_linenumber > 3").select("title_number", "section", F.lit("t").alias("topic_id"), F.lit("e").alias("entry_id"))
-    return links.reverse_links(inf, fee, idx), inf
+    role = F.when(F.col("l_orderkey") % 2 == 0, "affected").otherwise("authority")
+    fee = base.where("l_linenumber = 3").select("title_number", "section", (F.col("l_orderkey") % 10).cast("string").alias("id"), role.alias("role"))
+    idx = base.where("l_linenumber > 3").select("title_number", "section", F.concat(F.lit("t"), F.col("l_orderkey") % 3).alias("topic_id"), F.col("l_linenumber").cast("string").alias("entry_id"))
+    return inf, fee, idx
 
 
 _LINKS = _RESOLVED + ", b AS (SELECT k AS section, l_orderkey, l_linenumber FROM r WHERE id IS NOT NULL)"
 
 
-@q(f"""{_LINKS} SELECT section, CAST(coalesce(count(*) FILTER (WHERE l_linenumber <= 2), 0) AS INT) AS n_infractions, CAST(count(DISTINCT l_orderkey % 10) FILTER (WHERE l_linenumber = 3) AS INT) AS n_fees,
- CAST(count(*) FILTER (WHERE l_linenumber > 3) AS INT) AS n_index FROM b GROUP BY section""")
+@q(f"""{_LINKS} SELECT section, array_to_string(list_sort(coalesce(list(concat_ws('/', l_orderkey, l_linenumber)) FILTER (WHERE l_linenumber <= 2), [])), ',') AS infractions,
+ array_to_string(list_sort(coalesce(list(DISTINCT (l_orderkey % 10) || ':' || CASE WHEN l_orderkey % 2 = 0 THEN 'affected' ELSE 'authority' END) FILTER (WHERE l_linenumber = 3), [])), ',') AS fee_rules,
+ array_to_string(list_sort(coalesce(list('t' || (l_orderkey % 3) || ':' || l_linenumber) FILTER (WHERE l_linenumber > 3), [])), ',') AS index_entries FROM b GROUP BY section""")
 def reverse_links(spark, d):
-    out, _ = _links(spark, d)
-    n = lambda c: F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0))
-    return out.select("section", n(F.col("infractions")).alias("n_infractions"), F.coalesce(F.size("fee_rules"), F.lit(0)).alias("n_fees"), F.coalesce(F.size("index_entries"), F.lit(0)).alias("n_index"))
+    out = links.reverse_links(*_link_parts(spark, d))
+    pairs = lambda c, x, y: F.array_join(F.transform(c, lambda v: F.concat(v[x], F.lit(":"), v[y])), ",")
+    return out.select("section", F.array_join("infractions", ",").alias("infractions"), pairs(F.col("fee_rules"), "id", "role").alias("fee_rules"), pairs(F.col("index_entries"), "topic_id", "entry_id").alias("index_entries"))
 
 
-@q(f"""{_LINKS} SELECT section, row_number() OVER (PARTITION BY section ORDER BY concat_ws('/', l_orderkey, l_linenumber)) - 1 AS pos, concat_ws('/', l_orderkey, l_linenumber) AS id FROM b WHERE l_linenumber <= 2""")
+@q(f"""{_LINKS} SELECT section, count(*) FILTER (WHERE l_linenumber <= 2) AS n_infraction, count(DISTINCT (l_orderkey % 10)) FILTER (WHERE l_linenumber = 3) AS n_fee, count(*) FILTER (WHERE l_linenumber > 3) AS n_index FROM b GROUP BY section""")
+def link_counts(spark, d):
+    return links.link_counts(links.link_rows(*_link_parts(spark, d))).drop("title_number")
+
+
+@q(f"""{_LINKS}, i AS (SELECT section, 'infraction' AS kind, l_orderkey AS pos, concat_ws('/', l_orderkey, l_linenumber) AS id, '' AS roles, 'Order ' || l_orderkey AS text FROM b WHERE l_linenumber <= 2 AND l_orderkey % 4 <> 0
+), f AS (SELECT section, 'fee' AS kind, l_orderkey % 10 AS pos, CAST(l_orderkey % 10 AS VARCHAR) AS id, array_to_string(list_sort(list(DISTINCT CASE WHEN l_orderkey % 2 = 0 THEN 'affected' ELSE 'authority' END)), ',') AS roles, 'Rule ' || (l_orderkey % 10) AS text
+ FROM b WHERE l_linenumber = 3 AND l_orderkey % 10 < 8 GROUP BY section, l_orderkey % 10
+), x AS (SELECT section, 'index' AS kind, l_linenumber AS pos, 't' || (l_orderkey % 3) || '/' || l_linenumber AS id, '' AS roles, 'Entry ' || l_linenumber AS text FROM b WHERE l_linenumber > 3 AND l_orderkey % 3 < 2)
+SELECT * FROM i UNION ALL SELECT * FROM f UNION ALL SELECT * FROM x""")
 def section_context(spark, d):
-    out, inf = _links(spark, d)
-    return links.section_context(out.where("infractions is not null"), inf.select("id").distinct()).select("section", F.col("pos").cast("bigint").alias("pos"), "id")
+    """Infractions of every fourth order, two fee rules and one topic are not there."""
+    li = table(spark, d, "lineitem").where("l_linenumber <= 2 and l_orderkey % 4 <> 0").select("l_orderkey", "l_linenumber").distinct()
+    inf = li.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("position"), F.concat(F.lit("Order "), "l_orderkey").alias("text"))
+    fees = spark.range(8).select(F.col("id").cast("string").alias("id"), F.col("id").alias("position"), F.concat(F.lit("Rule "), F.col("id")).alias("text"))
+    entries = spark.range(4, 8).select(F.explode(F.array(F.lit("t0"), F.lit("t1"))).alias("topic_id"), F.col("id").cast("string").alias("entry_id"), F.col("id").alias("position"), F.concat(F.lit("Entry "), F.col("id")).alias("text"))
+    out = links.section_context(links.link_rows(*_link_parts(spark, d)), inf, fees, entries)
+    return out.select("section", "kind", F.col("pos").cast("bigint").alias("pos"), "id", F.array_join("roles", ",").alias("roles"), "text")
 
 
 @q(f"""WITH {SECTIONS_SQL}, r AS (SELECT DISTINCT id AS from_id, lower(unnest(regexp_extract_all(text, '(\\d+-\\d+)', 1))) AS key FROM sections), s AS (SELECT right(citation, length(citation) - strpos(citation, '-')) AS n, id, citation FROM sections)
@@ -108,7 +123,7 @@ def letter_counts(spark, d):
 @q("""SELECT letter, sum(greatest(0, coalesce(TRY_CAST(v AS BIGINT), 0)))::BIGINT AS n FROM (SELECT nullif(substr(event_type, 1, 1), 'x') AS letter, CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE CAST(event_id % 5 - 1 AS VARCHAR) END AS v FROM events) WHERE letter IS NOT NULL GROUP BY letter""")
 def shard_counts(spark, d):
     e = table(spark, d, "events").select(F.nullif(F.substring("event_type", 1, 1), F.lit("x")).alias("letter"), F.when(F.col("event_id") % 7 == 0, "bad").otherwise((F.col("event_id") % 5 - 1).cast("string")).alias("v"))
-    return e.where("letter is not null").groupBy("letter").agg(F.sum(F.greatest(F.lit(0), F.coalesce(F.col("v").try_cast("bigint"), F.lit(0)))).alias("n"))
+    return index.letter_totals(e, "letter", "v")
 
 
 @q("""WITH RECURSIVE x AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn, doc_id, octet_length(encode(text)) AS s FROM documents), f AS (
@@ -213,7 +228,7 @@ def omni_union(spark, d):
 
 @q("SELECT p_brand AS category, count(*) AS n, min(p_name) AS first FROM part GROUP BY p_brand")
 def group_by_category(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n"), F.min("p_name").alias("first"))
+    return index.by_category(table(spark, d, "part"), "p_brand", "p_name")
 
 
 @q("SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")
@@ -221,10 +236,36 @@ def rollup_counts(spark, d):
     return table(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("n"))
 
 
-@q("SELECT p_type AS heading, min(p_partkey) AS position, count(*) AS items, md5(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey)) AS item_md5 FROM part GROUP BY p_type")
+@q("SELECT p_type AS heading, min(p_partkey) OVER (PARTITION BY p_type) AS at, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS INT) AS nth, p_partkey FROM part")
 def merge_headings(spark, d):
-    g = table(spark, d, "part").groupBy(F.col("p_type").alias("heading")).agg(F.min("p_partkey").alias("position"), F.count("*").alias("items"), F.sort_array(F.collect_list("p_partkey")).alias("x"))
-    return g.select("heading", "position", "items", F.md5(F.array_join(F.transform("x", lambda v: v.cast("string")), ",").cast("binary")).alias("item_md5"))
+    return index.merged_headings(table(spark, d, "part").select("p_type", "p_partkey"), "p_type", "p_partkey")
+
+
+@q("SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' AND contains(lower(p_partkey || ' ' || p_name), '1') ORDER BY p_partkey LIMIT 150")
+def infraction_category(spark, d):
+    return index.infraction_list(_infractions(spark, d).withColumn("position", F.col("citation").cast("bigint")), "Brand#13", " 1 ").select(F.col("position").alias("p_partkey"))
+
+
+@q("SELECT 'Section' AS kind, 'Sec. ' || p_partkey AS label, p_name || ' · Title ' || p_size || ', Chapter ' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN ' · 2026 Supp.' ELSE '' END AS subtitle, p_partkey AS rank FROM part ORDER BY p_partkey LIMIT 5")
+def statute_quick(spark, d):
+    key = F.col("p_partkey").cast("string")
+    results = table(spark, d, "part").select(key.alias("citation"), F.array(key).alias("citations"), F.col("p_name").alias("heading"), F.col("p_size").cast("string").alias("title_number"), F.col("p_brand").alias("chapter_number"), F.when(F.col("p_partkey") % 2 == 0, 2026).alias("supplement_year"), F.col("p_partkey").alias("rank"))
+    return index.statute_matches(results)
+
+
+@q(_INDEX + """, m AS (SELECT topic_id, position, '' AS entry_id, CASE WHEN lower(label) = 'the' THEN 0 ELSE 1 END AS score, label, 'Subject heading · ' || (SELECT count(*) FROM e WHERE e.topic_id = t.topic_id) || ' entries' AS subtitle FROM t WHERE contains(lower(label), 'the')
+ UNION ALL SELECT e.topic_id, position, entry_id, CASE WHEN starts_with(lower(text), 'the') THEN 2 ELSE 3 END, label, text FROM e JOIN t USING (topic_id) WHERE contains(lower(text), 'the'))
+SELECT 'Index' AS kind, label, subtitle, score, position, entry_id FROM m ORDER BY score, position, entry_id LIMIT 3""")
+def index_quick(spark, d):
+    return index.index_matches(*_index(spark, d), "the")
+
+
+@q("SELECT n_nationkey || 'x' AS wanted, CAST(n_regionkey AS VARCHAR) AS title, 'c' || n_nationkey AS chapter_id FROM nation WHERE n_nationkey > 4 UNION ALL SELECT n_nationkey || 'x', NULL, 'c' || n_nationkey FROM nation WHERE n_nationkey <= 4")
+def chapter_lookup(spark, d):
+    n, key = table(spark, d, "nation"), F.col("n_nationkey")
+    wanted = n.select(F.concat(F.lit("00"), key, F.lit("X")).alias("w"), F.concat(key, F.lit("x")).alias("wanted"), F.when(key > 4, F.col("n_regionkey").cast("string")).alias("title"))
+    chapters = n.select(F.concat(key, F.lit("x")).alias("number"), F.concat(F.lit("0"), "n_regionkey").alias("title_number"), F.concat(F.lit("c"), key).alias("chapter_id"), key.alias("position"))
+    return links.chapter_lookup(wanted.select("wanted", "title"), chapters)
 
 
 @q(f"SELECT CAST(doc_id AS VARCHAR) AS id, {natural_sql('source')} AS sort_key FROM documents")
@@ -460,8 +501,28 @@ def snapshot_replay(spark, d):
 @q("SELECT '<url><loc>https://example.org/' || x || '</loc></url>' AS line FROM (SELECT DISTINCT lang AS x FROM documents UNION SELECT DISTINCT lang || '/' || source FROM documents)")
 def sitemap(spark, d):
     t = table(spark, d, "documents")
-    urls = t.select(F.col("lang").alias("x")).union(t.select(F.concat_ws("/", "lang", "source").alias("x"))).distinct()
-    return urls.select(F.concat(F.lit("<url><loc>https://example.org/"), "x", F.lit("</loc></url>")).alias("line"))
+    return artifacts.sitemap(t.select(F.col("lang").alias("path")).union(t.select(F.concat_ws("/", "lang", "source").alias("path"))), "https://example.org")
+
+
+@q("SELECT substr(sha256(string_agg(n_name || n_comment, '' ORDER BY n_name)), 1, 12) AS build_id FROM (SELECT n_name, n_name || n_regionkey AS n_comment FROM nation)")
+def build_id(spark, d):
+    return artifacts.build_id(table(spark, d, "nation").select(F.col("n_name").alias("path"), F.concat("n_name", "n_regionkey").alias("content")))
+
+
+@q("""SELECT n_name AS path, CASE WHEN n_nationkey % 3 = 0 THEN 'supplement' WHEN n_nationkey % 2 = 0 THEN 'search' ELSE 'base' END AS source, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 3 WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS INT) AS bytes FROM nation""")
+def offline_files(spark, d):
+    n = table(spark, d, "nation")
+    part = lambda source, i: n.where(F.col("n_nationkey") % i == 0).select(F.col("n_name").alias("path"), F.lit(source).alias("source"), F.lit(i).alias("bytes"))
+    return artifacts.offline_files(part("base", 1), part("search", 2), part("supplement", 3))
+
+
+@q("""SELECT 'other' AS letter, CAST(p_partkey AS INT) AS shard, 'o' || p_partkey AS path FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'b', CAST(p_partkey AS INT), 'b' || p_partkey FROM part WHERE p_partkey % 3 = 1""")
+def letter_shards(spark, d):
+    """The shards of "b", and those of "z", which has none."""
+    n = F.col("p_partkey")
+    m = table(spark, d, "part").select(F.when(n % 3 == 0, "other").when(n % 3 == 1, "b").otherwise("c").alias("letter"), n.cast("int").alias("shard"))
+    m = m.withColumn("path", F.concat(F.substring("letter", 1, 1), "shard"))
+    return artifacts.letter_shards(m, "B").unionByName(artifacts.letter_shards(m, "z"))
 
 
 @q("SELECT lang || '.json' AS path, count(*) AS items FROM documents GROUP BY lang")
@@ -510,8 +571,9 @@ def nearest_columns(spark, d):
 
 @q("""SELECT l_orderkey, l_linenumber, last_value(CASE WHEN l_linenumber % 3 = 1 THEN l_shipdate END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM lineitem""")
 def carry_forward(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.last(F.when(F.col("l_linenumber") % 3 == 1, F.col("l_shipdate")), ignorenulls=True).over(w).alias("carried"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+    value = F.when(F.col("l_linenumber") % 3 == 1, F.col("l_shipdate"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", folds.carried(value, ["l_orderkey"], order).alias("carried"))
 
 
 @q("SELECT conv_id, len(list_filter(range(len(r)), lambda i: i = 0 OR r[i + 1] <> r[i])) AS runs FROM (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY 1)")

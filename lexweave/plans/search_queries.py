@@ -104,6 +104,20 @@ def search_total_matches(spark, d):
 ORACLE["search_total_matches"] = f"WITH {PREPARED_SQL} SELECT count(*) AS total_matches FROM prepared WHERE {CASES['search_boolean'][2]}"
 
 
+def search_page(spark, d):
+    return _out(s.page(sections(spark, d), "la OR license", number=2, size=30))
+
+
+ORACLE["search_page"] = _search_sql(f"{_any('la', STATUTE)} OR {_any('license', STATUTE)}", ["la", "license"], limit=30) + " OFFSET 30"
+
+
+def nav_visible(spark, d):
+    return s.visible(sections(spark, d), True, "7").select("id", "status")
+
+
+ORACLE["nav_visible"] = f"WITH {SECTIONS_SQL} SELECT id, status FROM sections WHERE status <> 'repealed' OR id = '7'"
+
+
 def search_matched_fields(spark, d):
     return _out(s.matches(sections(spark, d), "la OR license"))
 
@@ -121,7 +135,8 @@ ORACLE["search_with_aux"] = _search_sql(f"{_any('src4', ALL)} AND {_any('de', AL
 
 def search_shard_merge(spark, d):
     docs = sections(spark, d)
-    parts = [s.search(docs.where(F.col("title_number") == t), "NOT zzz license", limit=20) for t in ("en", "fr", "de", "es")]
+    titles = sorted(r[0] for r in table(spark, d, "documents").select("lang").distinct().collect())  # the catalog's titles
+    parts = [s.search(docs.where(F.col("title_number") == t), "NOT zzz license", limit=20) for t in titles]
     return _out(s.merge_results(*parts, limit=20))
 
 
@@ -176,7 +191,7 @@ ORACLE["search_explain"] = """SELECT * FROM (VALUES (0, 'NEAR/n requires a word,
  (2, '(a OR b) AND c'), (3, 'x NEAR/5 y*'), (4, 'NOT NOT z')) t(n, explanation)"""
 
 QUERIES |= {
-    "search_near": search_near, "search_total_matches": search_total_matches, "search_matched_fields": search_matched_fields,
+    "search_page": search_page, "nav_visible": nav_visible, "search_near": search_near, "search_total_matches": search_total_matches, "search_matched_fields": search_matched_fields,
     "search_with_aux": search_with_aux, "search_shard_merge": search_shard_merge, "normalize_text": normalize_text_query,
     "tokenize_stats": tokenize_stats, "search_highlight": search_highlight, "search_excerpt": search_excerpt, "search_explain": search_explain,
 }

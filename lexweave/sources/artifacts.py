@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.functions.text import escape_html
+
 SECTION = "id string, kind string, citation string, citations array<string>, heading string, sourceUrl string, sourceAnchor string, identifierWarning string, status string, content struct<body:array<string>,sourceNotes:array<string>,history:array<string>,annotations:array<struct<first:boolean,text:string>>,plainText:string>"
 CHAPTER = f"schemaVersion string, id string, number string, name string, title struct<id:string,number:string,name:string>, sourceUrl string, sections array<struct<{','.join(':'.join(x.split(' ', 1)) for x in SECTION.split(', '))}>>"
 
@@ -66,6 +69,41 @@ def fingerprint(artifacts: DataFrame) -> DataFrame:
     return d.agg(F.substring(joined(F.concat_ws(" ", "q", "h"), "\n"), 1, 12).alias("fingerprint"))
 
 
+def build_id(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """The id of a build: 12 hex digits of the SHA-256 over path and bytes of its files, in
+    order of their paths. That is one digest over a few shell files; ``fingerprint`` is for many."""
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(path).alias("p"), F.col(content).cast("binary").alias("c"))))
+    joined = F.aggregate(ordered, F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["p"].cast("binary"), x["c"]))
+    return files.agg(F.substring(F.sha2(joined, 256), 1, 12).alias("build_id"))
+
+
+def offline_files(*parts: DataFrame) -> DataFrame:
+    """Files to be kept for offline use: the union of manifests (``path`` and other columns),
+    each path once; a later manifest's entry stands."""
+    ranked = [p.withColumn("__rank", F.lit(i)) for i, p in enumerate(parts)]
+    both = reduce(DataFrame.unionByName, ranked)
+    newest = both.groupBy("path").agg(F.max_by(F.struct(*(c for c in both.columns if c not in ("path", "__rank"))), "__rank").alias("x"))
+    return newest.select("path", "x.*")
+
+
+def sitemap(urls: DataFrame, origin: str, url: str = "path") -> DataFrame:
+    """A line of a sitemap for each distinct path."""
+    loc = F.concat(F.lit(origin.rstrip("/") + "/"), F.col(url))
+    return urls.select(url).distinct().select(F.concat(F.lit("<url><loc>"), escape_html(loc), F.lit("</loc></url>")).alias("line"))
+
+
+def robots(origin: str) -> str:
+    """A robots file that allows all and names the sitemap."""
+    return f"User-agent: *\nAllow: /\n\nSitemap: {origin.rstrip('/')}/sitemap.xml\n"
+
+
+def letter_shards(manifest: DataFrame, letter: str) -> DataFrame:
+    """Paths of the shards of a letter in order; those of "other" where it has none."""
+    own = manifest.where(F.col("letter").isin(letter.lower(), "other"))
+    best = own.agg(F.max(F.col("letter") == letter.lower()).alias("has"))
+    return own.crossJoin(best).where(F.when(F.col("has"), F.col("letter") == letter.lower()).otherwise(F.col("letter") == "other")).select("letter", "shard", "path").orderBy("shard")
+
+
 def publish(df: DataFrame, root: str, validate=None) -> str:
     """Writes a new generation, validates it, then moves the pointer; a failed one leaves the
     pointer where it was. Returns the generation's path."""
