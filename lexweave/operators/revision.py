@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -13,40 +15,45 @@ BUDGET = 2000
 
 
 def _script(a: list[str], b: list[str], budget: int) -> list[tuple[str, str]] | None:
-    """Greedy shortest edit script: furthest x per diagonal, one list per number of edits."""
+    """Greedy shortest edit script. A round of d edits moves d + 1 diagonals; what is kept of it
+    are their ends as 32-bit numbers, half of the square of the edits in all."""
     n, m = len(a), len(b)
-    reach, history = {1: 0}, []
+    rounds: list[array] = []
+    before = array("i")
     for d in range(min(n + m, budget) + 1):
-        history.append(reach)
-        reach = dict(reach)
-        for k in range(-d, d + 1, 2):
-            stay = reach.get(k + 1, -1)
-            step = reach.get(k - 1, -2) + 1
-            x = stay if k == -d or (k != d and step <= stay) else step
+        now = array("i")
+        for i, k in enumerate(range(-d, d + 1, 2)):
+            down = before[i] if i < d else -1  # from diagonal k + 1: an insertion
+            right = before[i - 1] + 1 if i else -1  # from diagonal k - 1: a deletion
+            x = max(down, right) if d else 0
             while x < n and x - k < m and a[x] == b[x - k]:
                 x += 1
-            reach[k] = x
+            now.append(x)
             if x >= n and x - k >= m:
-                return _walk(history, a, b)
+                return _walk([*rounds, now], a, b)
+        rounds.append(now)
+        before = now
     return None
 
 
-def _walk(history: list[dict[int, int]], a: list[str], b: list[str]) -> list[tuple[str, str]]:
+def _walk(rounds: list[array], a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """The script from the end back to the start: equal tokens down to where an edit led."""
     out, x, y = [], len(a), len(b)
-    for d in reversed(range(len(history))):
-        reach, k = history[d], x - y
-        came = k + 1 if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else k - 1
-        x0 = reach.get(came, 0) if d else 0
-        y0 = x0 - came if d else 0
-        while x > x0 and y > y0:
+    for d in range(len(rounds) - 1, 0, -1):
+        before, i = rounds[d - 1], (x - y + d) // 2
+        down = before[i] if i < d else -1
+        right = before[i - 1] + 1 if i else -1
+        start = max(down, right)
+        while x > start:
             x, y = x - 1, y - 1
             out.append(("equal", a[x]))
-        if d and x == x0:
-            y -= 1
-            out.append(("insert", b[y]))
-        elif d:
+        if right > down:
             x -= 1
             out.append(("delete", a[x]))
+        else:
+            y -= 1
+            out.append(("insert", b[y]))
+    out += [("equal", t) for t in reversed(a[:x])]
     return out[::-1]
 
 

@@ -20,6 +20,10 @@ STATUTE = r"^(\d+[a-z]{0,2}-\d+[a-z]{0,3})\S*$"
 PUBLIC_ACT = r"^PA(\d+-\d+)\S*$"
 AMOUNT = r"^\d{1,3}(?:,\d{3})*\.\d{2}$"
 CITATION = r"\d+[a-z]{0,3}-\d+[a-z]{0,3}"
+SQUASHED = r"^((?:PA)?\d+[a-z]{0,2}-\d+[a-z]{0,3})(\(\S*)$"
+OFFENSE = r"(1st|2nd|3rd|\d+th)$"
+VIOLATION = r"^Violation of ((?:PA)?\d+[a-z]{0,2}-\d+[a-z]{0,3}(?:\([a-z0-9]+\))*) \((\d+)(?:st|nd|rd|th) offense\)"
+REFERENCE = r"(?i)(?<![\w-])(\d+[a-z]{0,3}-\d+[a-z]{0,3}(?:\s*\([a-z0-9]+\))*)"
 COLUMNS = ("total_due", "fine", "fee", "z_fee", "cost", "surcharge", "stf", "bipsa", "mf", "plus")
 CENTERS = (452, 479, 516, 549, 590, 631, 664, 701, 733, 760)
 HEADS = ("DUE", "FINE", "FEE", "FEE", "COST", "CHARGE", "STF", "BIPSA", "MF", "PLUS")
@@ -47,13 +51,12 @@ def join_text(parts: Column, keep_digit_hyphen: bool = False) -> Column:
 def fix_citation(token: Column) -> Column:
     """A squashed citation inside a description, with its parentheses and offense again; a
     token whose parentheses balance, or that is no citation, stays."""
-    pattern = r"^((?:PA)?\d+[a-z]{0,2}-\d+[a-z]{0,3})(\(\S*)$"
     body = F.regexp_replace(token, "[.,;:]+$", "")
     punctuation = F.substring(token, F.length(body) + 1, F.length(token))
-    base, rest = F.regexp_extract(body, pattern, 1), F.regexp_extract(body, pattern, 2)
+    base, rest = F.regexp_extract(body, SQUASHED, 1), F.regexp_extract(body, SQUASHED, 2)
     bare = F.regexp_replace(rest, r"\*+$", "")
-    ordinal = F.regexp_extract(bare, r"(1st|2nd|3rd|\d+th)$", 1)
-    groups = F.regexp_extract_all(F.regexp_replace(bare, r"(1st|2nd|3rd|\d+th)$", ""), F.lit("[A-Za-z]+|[0-9]+"), 0)
+    ordinal = F.regexp_extract(bare, OFFENSE, 1)
+    groups = F.regexp_extract_all(F.regexp_replace(bare, OFFENSE, ""), F.lit("[A-Za-z]+|[0-9]+"), 0)
     fixed = F.concat(
         base, F.array_join(F.transform(groups, lambda g: F.concat(F.lit("("), g, F.lit(")"))), ""), F.when(rest.endswith("*"), "*").otherwise(""),
         F.when(ordinal != "", F.concat(F.lit(" ("), ordinal, F.lit(" offense)"))).otherwise(""), punctuation,
@@ -70,15 +73,13 @@ def polish(description: Column) -> Column:
 def zone_citation(citation: Column, description: Column) -> Column:
     """A citation without the offense ordinal that was read as a subdivision: only where the
     description cites the row with the same ordinal."""
-    pattern = r"^Violation of ((?:PA)?\d+[a-z]{0,2}-\d+[a-z]{0,3}(?:\([a-z0-9]+\))*) \((\d+)(?:st|nd|rd|th) offense\)"
-    cited, n = F.regexp_extract(description, pattern, 1), F.regexp_extract(description, pattern, 2)
+    cited, n = F.regexp_extract(description, VIOLATION, 1), F.regexp_extract(description, VIOLATION, 2)
     return F.when((cited != "") & (citation == F.concat(cited, F.lit("("), n, F.lit(")"))), cited).otherwise(citation)
 
 
 def references(text: Column) -> Column:
     """``display, section_key`` of the citations in a text: each once, in order."""
-    pattern = r"(?i)(?<![\w-])(\d+[a-z]{0,3}-\d+[a-z]{0,3}(?:\s*\([a-z0-9]+\))*)"
-    shown = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1), lambda x: F.regexp_replace(x, r"\s+", ""))
+    shown = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(REFERENCE), 1), lambda x: F.regexp_replace(x, r"\s+", ""))
     kept = F.filter(shown, lambda x, i: ~F.exists(F.slice(shown, 1, i), lambda y: F.lower(y) == F.lower(x)))
     return F.transform(kept, lambda x: F.struct(x.alias("display"), F.lower(F.regexp_extract(x, f"(?i)^{CITATION}", 0)).alias("section_key")))
 
@@ -111,7 +112,7 @@ def schedule_rows(words: DataFrame, centers: tuple[float, ...] = CENTERS) -> Dat
     capitals at the margin is the category of the rows after it; other lines belong to the row
     above. A star on the citation marks later offenses.
     """
-    d = line_rows(words)
+    d = line_rows(words).withColumn("centers", head_centers(F.col("words")))
     order = Window.partitionBy("source").orderBy("page", "line")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     first = F.get("words", F.lit(0))
@@ -119,7 +120,7 @@ def schedule_rows(words: DataFrame, centers: tuple[float, ...] = CENTERS) -> Dat
     letters = F.regexp_replace(F.regexp_replace("text", qualifier, ""), "[^A-Za-z]", "")
     chart = (F.col("line") < 2) & (first["text"] == "CHART") & F.exists("words", lambda w: w["text"] == "B")
     ended = F.col("text").rlike(r"-\s*Alphabetical Order\s*$") | chart
-    d = d.withColumns({"ended": F.max(ended.cast("int")).over(upto), "spots": F.min_by(head_centers(F.col("words")), F.when(head_centers(F.col("words")).isNotNull(), F.col("line"))).over(Window.partitionBy("source", "page"))}).where("ended = 0")
+    d = d.withColumns({"ended": F.max(ended.cast("int")).over(upto), "spots": F.min_by("centers", F.when(F.col("centers").isNotNull(), F.col("line"))).over(Window.partitionBy("source", "page"))}).where("ended = 0").drop("centers")
     skip = F.col("text").rlike("^(?:TOTAL|STAT NO|INFRACTIONS/VIOLATIONS)") | ((F.size("words") == 1) & F.col("text").rlike(r"^\d{1,3}$"))
     d = d.where(~skip).withColumns(
         {

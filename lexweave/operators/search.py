@@ -8,6 +8,7 @@ and one list of matched fields, so a search is a scan, a filter, a projection an
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,6 +81,7 @@ def _starts(value: str):
 
 
 def score(query: Query, fields: tuple[str, ...]) -> Column:
+    """What the terms give; the status counts later."""
     total = F.lit(1.0)
     for term in query.positives:
         if "citation" in fields:
@@ -90,7 +92,7 @@ def score(query: Query, fields: tuple[str, ...]) -> Column:
         for field, (plain, phrase) in WEIGHTS.items():
             if field in fields:
                 total = total + F.when(term_in(term, field), phrase if term.kind == "phrase" else plain).otherwise(0)
-    return total + F.when(F.col("status") != "active", NOT_ACTIVE).otherwise(0)
+    return total
 
 
 def matched_fields(query: Query, fields: tuple[str, ...]) -> Column:
@@ -102,8 +104,6 @@ def matched_fields(query: Query, fields: tuple[str, ...]) -> Column:
 def attribute_filter(docs: DataFrame, options: Options) -> DataFrame:
     if options.chapter:
         docs = docs.where((F.col("chapter_id") == options.chapter) | (F.col("chapter_number") == options.chapter))
-    if options.status:
-        docs = docs.where(F.col("status") == options.status)
     if options.supplement:
         docs = docs.where(F.col("supplement_year").isNotNull() if options.supplement == "updated" else F.col("supplement_year").isNull())
     return docs
@@ -115,13 +115,24 @@ def compile_query(text: str, options: Options) -> Query:
     return query.within(parse(options.within)) if options.within else query
 
 
-def matches(docs: DataFrame, text: str, options: Options = Options()) -> DataFrame:
-    """All matching documents with ``score`` and ``matched_fields``."""
+Enrich = Callable[[DataFrame], DataFrame]
+
+
+def matches(docs: DataFrame, text: str, options: Options = Options(), enrich: Enrich | None = None) -> DataFrame:
+    """All matching documents with ``score`` and ``matched_fields``.
+
+    ``enrich`` adds columns that only matches need (``status``, say): what it joins meets the
+    matches, not the corpus.
+    """
     options = options.normalized()
     query, fields = compile_query(text, options), fields_of(options)
+    given = {f"{p}_{f}" for p in "nt" for f in fields} - set(docs.columns)
     d = prepare(attribute_filter(docs, options), fields).where(predicate(query.root, fields))
-    d = d.withColumns({"score": score(query, fields), "matched_fields": matched_fields(query, fields)})
-    return d.drop(*(f"{p}_{f}" for p in "nt" for f in fields))
+    d = d.withColumns({"matched_fields": matched_fields(query, fields), "score": score(query, fields)}).drop(*given)
+    d = enrich(d) if enrich else d
+    if options.status:
+        d = d.where(F.col("status") == options.status)
+    return d.withColumn("score", F.col("score") + F.when(F.col("status") != "active", NOT_ACTIVE).otherwise(0))
 
 
 def order(sort: str = "relevance") -> list[Column]:
@@ -130,16 +141,16 @@ def order(sort: str = "relevance") -> list[Column]:
     return [*tail, F.desc("score")] if sort == "citation" else [F.desc("score"), *tail]
 
 
-def search(docs: DataFrame, text: str, options: Options = Options(), limit: int = 50) -> DataFrame:
+def search(docs: DataFrame, text: str, options: Options = Options(), limit: int = 50, enrich: Enrich | None = None) -> DataFrame:
     """The first ``limit`` results (the result page is a top-k report)."""
     options = options.normalized()
-    return matches(docs, text, options).orderBy(*order(options.sort)).limit(limit)
+    return matches(docs, text, options, enrich).orderBy(*order(options.sort)).limit(limit)
 
 
-def page(docs: DataFrame, text: str, options: Options = Options(), number: int = 1, size: int = 50) -> DataFrame:
+def page(docs: DataFrame, text: str, options: Options = Options(), number: int = 1, size: int = 50, enrich: Enrich | None = None) -> DataFrame:
     """One page of the results, the first is 1."""
     options = options.normalized()
-    return matches(docs, text, options).orderBy(*order(options.sort)).offset((number - 1) * size).limit(size)
+    return matches(docs, text, options, enrich).orderBy(*order(options.sort)).offset((number - 1) * size).limit(size)
 
 
 def visible(sections: DataFrame, hide_repealed: bool, selected: str | None = None) -> DataFrame:
@@ -149,8 +160,11 @@ def visible(sections: DataFrame, hide_repealed: bool, selected: str | None = Non
     return sections.where((F.col("status") != "repealed") | (F.col("id") == F.lit(selected).cast("string")).eqNullSafe(F.lit(True)))
 
 
-def total_matches(docs: DataFrame, text: str, options: Options = Options()) -> DataFrame:
-    return matches(docs, text, options).agg(F.count("*").alias("total_matches"))
+def total_matches(docs: DataFrame, text: str, options: Options = Options(), enrich: Enrich | None = None) -> DataFrame:
+    """How many match; without a status to filter by, nothing is joined for it."""
+    if not options.normalized().status:
+        enrich = lambda d: d.withColumn("status", F.lit("active"))
+    return matches(docs, text, options, enrich).agg(F.count("*").alias("total_matches"))
 
 
 def merge_results(*batches: DataFrame, limit: int = 50, sort: str = "relevance") -> DataFrame:

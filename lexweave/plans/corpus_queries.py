@@ -8,7 +8,7 @@ from lexweave.functions import text as tx
 from lexweave.operators import folds, index, links, state, validate
 from lexweave.operators.revision import diff_revision
 from lexweave.sources import artifacts
-from lexweave.sources.html import anchored_sections, merged_links, parse_pages
+from lexweave.sources.html import anchored_sections, merged_links, page_anchors, parse_pages, repealed_notes, section_content
 from lexweave.sources.tables import SECTIONS_SQL, natural_sql, sections, table
 
 QUERIES, ORACLE = {}, {}
@@ -481,10 +481,42 @@ def html_sections(spark, d):
         F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('<p class="source-first">(P.A. '), F.col("o_orderkey"), F.lit(")</p>"))).otherwise(""),
         F.lit('<p class="history-first">first</p><p class="history">second</p><p><a name="sec_next">Next</a></p><p class="annotation">note</p>'),
     )
-    found = anchored_sections(parse_pages(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))))
+    found = anchored_sections(page_anchors(o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))))
     return found.select("key", "anchor", *(F.array_join(c, "|").alias(c) for c in ("body", "source", "history", "annotation")))
 
 
+# A page per customer: a section, a group that a table ends, and one that only a note is about.
+def _section_pages(spark, d):
+    c = table(spark, d, "customer")
+    key = F.col("c_custkey").cast("string")
+    html = F.concat(
+        F.lit('<p><a id="sec_1-'), key, F.lit('">Sec. 1-'), key, F.lit(". Name.</a> First text.</p><p>Second.</p><p class=\"history\">old</p><p><a id=\"secs_2-1to2-3\">Secs. 2-1 to 2-3.</a> Reserved for future use.</p>"),
+        F.lit('<div>no</div><li>item</li><table><tr><td>cell</td></tr></table><p>after</p><p>Sections <a href="#sec_3-'), key, F.lit('">3-'), key, F.lit("</a> are repealed.</p>"),
+    )
+    pages = c.select(F.col("c_custkey").alias("page_id"), html.alias("html"))
+    none = F.array().cast("array<string>")
+    link = lambda k, keys, label, at: F.struct(k.alias("section_key"), keys.alias("section_keys"), label.alias("label"), F.concat(F.lit("http://x/p.htm#"), at).alias("url"))
+    found = F.array(
+        link(F.concat(F.lit("1-"), key), none, F.concat(F.lit("Sec. 1-"), key, F.lit(". Name.")), F.concat(F.lit("SEC_1-"), key)),
+        link(F.lit(""), F.array(F.lit("2-1"), F.lit("2-2"), F.lit("2-3")), F.lit("Secs. 2-1 to 2-3."), F.lit("secs_2-1to2-3")),
+        link(F.concat(F.lit("3-"), key), none, F.concat(F.lit("Sec. 3-"), key, F.lit(". Gone.")), F.concat(F.lit("sec_3-"), key)),
+    )
+    return pages, c.select(F.col("c_custkey").alias("key"), F.inline(found))
+
+
+@q("""SELECT c_custkey AS key, '1-' || c_custkey AS section_key, 'First text.' || chr(10) || chr(10) || 'Second.' AS text, 'old' AS history, 'active' AS status FROM customer
+UNION ALL SELECT c_custkey, '', 'Reserved for future use.' || chr(10) || chr(10) || 'item', '', 'reserved' FROM customer
+UNION ALL SELECT c_custkey, '3-' || c_custkey, 'Sections 3-' || c_custkey || ' are repealed.', '', 'repealed' FROM customer""")
+def html_content(spark, d):
+    pages, found = _section_pages(spark, d)
+    return section_content(found, page_anchors(pages)).select("key", "section_key", "text", F.array_join("history", "|").alias("history"), "status")
+
+
+@q("SELECT c_custkey AS key, '3-' || c_custkey AS section_key, 'Sections 3-' || c_custkey || ' are repealed.' AS note FROM customer")
+def html_repealed_notes(spark, d):
+    return repealed_notes(page_anchors(_section_pages(spark, d)[0]))
+
+
 @q("SELECT count(DISTINCT sha256(html)) AS blobs, count(*) AS urls FROM pages")
 def snapshot_dedupe(spark, d):
     m, b = artifacts.content_store(table(spark, d, "pages"), "url", "html")

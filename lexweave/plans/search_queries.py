@@ -9,7 +9,7 @@ from lexweave.functions import query as q
 from lexweave.functions import text as tx
 from lexweave.functions.query import Options
 from lexweave.operators import search as s
-from lexweave.sources.tables import PREPARED_SQL, SECTIONS_SQL, auxiliary, natural_sql, norm_sql, sections, table, tok_sql
+from lexweave.sources.tables import PREPARED_SQL, SECTIONS_SQL, auxiliary, natural_sql, norm_sql, provisions, sections, statuses, table, tok_sql
 
 
 def _out(found: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ CASES: dict[str, tuple] = {
 
 QUERIES, ORACLE = {}, {}
 for _name, (_text, _options, _where, _terms, _extra) in CASES.items():
-    QUERIES[_name] = lambda spark, d, t=_text, o=_options: _out(s.search(sections(spark, d), t, o))
+    QUERIES[_name] = lambda spark, d, t=_text, o=_options: _out(s.search(provisions(spark, d), t, o, enrich=statuses(spark, d)))
     _fields = s.fields_of(_options)
     ORACLE[_name] = _search_sql(_where, _terms, _fields, sort=_options.sort, extra=_extra) if _terms else _search_sql(_where, ["\x01"], _fields, extra=_extra)
 
@@ -81,7 +81,7 @@ NEAR = "the NEAR/3 an*"
 
 
 def search_near(spark, d):
-    return _out(s.matches(sections(spark, d), NEAR))
+    return _out(s.matches(provisions(spark, d), NEAR, enrich=statuses(spark, d)))
 
 
 ORACLE["search_near"] = f"""WITH {PREPARED_SQL}, words AS (
@@ -98,14 +98,14 @@ FROM prepared WHERE id IN (SELECT id FROM hits)"""
 
 
 def search_total_matches(spark, d):
-    return s.total_matches(sections(spark, d), "the AND (in OR of) NOT was")
+    return s.total_matches(provisions(spark, d), "the AND (in OR of) NOT was")
 
 
 ORACLE["search_total_matches"] = f"WITH {PREPARED_SQL} SELECT count(*) AS total_matches FROM prepared WHERE {CASES['search_boolean'][2]}"
 
 
 def search_page(spark, d):
-    return _out(s.page(sections(spark, d), "la OR license", number=2, size=30))
+    return _out(s.page(provisions(spark, d), "la OR license", number=2, size=30, enrich=statuses(spark, d)))
 
 
 ORACLE["search_page"] = _search_sql(f"{_any('la', STATUTE)} OR {_any('license', STATUTE)}", ["la", "license"], limit=30) + " OFFSET 30"
@@ -119,7 +119,7 @@ ORACLE["nav_visible"] = f"WITH {SECTIONS_SQL} SELECT id, status FROM sections WH
 
 
 def search_matched_fields(spark, d):
-    return _out(s.matches(sections(spark, d), "la OR license"))
+    return _out(s.matches(provisions(spark, d), "la OR license", enrich=statuses(spark, d)))
 
 
 ORACLE["search_matched_fields"] = _search_sql(f"{_any('la', STATUTE)} OR {_any('license', STATUTE)}", ["la", "license"], limit=None)

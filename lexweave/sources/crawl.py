@@ -138,11 +138,11 @@ def section_links(links: DataFrame, title: Column | None = None) -> DataFrame:
     say = lambda when, *parts: F.when(when, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
     differ = headed & (F.col("fragment_key") != "") & (F.col("heading_key") != F.col("fragment_key"))
     warnings = F.array(
-        say(differ, "heading key ", F.col("heading_key"), " disagrees with fragment key ", F.col("fragment_key"), "; heading key used"),
-        say(headed & (F.col("fragment_key") == ""), "heading key ", F.col("heading_key"), " has noncanonical fragment #", F.col("fragment"), "; heading key used"),
-        say(strange, "section key ", F.col("section_key"), " belongs to title ", F.coalesce(F.nullif(key_title(F.col("section_key")), none), F.lit("?")), " but appears in title ", F.col("expected")),
-        say(F.size(outside) > 0, "group contains key(s) outside title ", F.col("expected"), ": ", F.array_join(outside, ", ")),
-        say(~keyed & (F.size("section_keys") == 0), "grouped section fragment #", F.col("fragment"), " yielded no keys"),
+        say(differ, "the fragment names ", F.col("fragment_key"), ", the heading ", F.col("heading_key"), ", which counts"),
+        say(headed & (F.col("fragment_key") == ""), "the fragment #", F.col("fragment"), " has no key of its own, the heading's ", F.col("heading_key"), " counts"),
+        say(strange, F.col("section_key"), " is a section of title ", F.coalesce(F.nullif(key_title(F.col("section_key")), none), F.lit("?")), ", listed in title ", F.col("expected")),
+        say(F.size(outside) > 0, "the group reaches out of title ", F.col("expected"), " to ", F.array_join(outside, ", ")),
+        say(~keyed & (F.size("section_keys") == 0), "no keys in the group fragment #", F.col("fragment")),
     )
     return d.select(
         "key", "ordinal", "section_key", F.col("text").alias("label"), F.col("href").alias("url"), (F.size("section_keys") > 0).alias("grouped"), "section_keys",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as provisions: title = lang, chapter = source, status from ``labels``.
-
-    The label join is on the document id with one row a document, so it never multiplies rows.
-    """
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    d = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+def provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as provisions without their status: title = lang, chapter = source."""
+    d = table(spark, sf_dir, "documents")
     number = (F.substring("source", 4, 10).try_cast("int") + 1).cast("string")
     citation = F.concat(number, F.lit("-"), F.col("doc_id").cast("string"))
     return d.select(
@@ -29,11 +27,26 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(citation).alias("citations"),
         F.substring_index("text", ".", 1).alias("heading"),
         "text",
-        F.when(F.col("toxic") == 1, "repealed").when(F.col("quality") == 0, "obsolete").otherwise("active").alias("status"),
         F.when(F.col("doc_id") % 7 == 0, F.lit(2026)).alias("supplement_year"),
     )
 
 
+def statuses(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``status`` from ``labels``, which has one row a document, so no row multiplies."""
+
+    def add(docs: DataFrame) -> DataFrame:
+        labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+        status = F.when(F.col("toxic") == 1, "repealed").when(F.col("quality") == 0, "obsolete").otherwise("active")
+        return docs.join(labels, "doc_id", "left").withColumn("status", status).drop("quality", "toxic")
+
+    return add
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provisions with their status."""
+    return statuses(spark, sf_dir)(provisions(spark, sf_dir))
+
+
 def auxiliary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History and annotations of each provision, kept apart and joined on demand."""
     return table(spark, sf_dir, "documents").select(

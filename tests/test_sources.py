@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexweave.functions.query import Options
 from lexweave.operators import search
 from lexweave.sources import artifacts
-from lexweave.sources.html import anchored_sections, html_rows, merged_links, parse_pages
+from lexweave.sources.html import anchored_sections, html_rows, merged_links, page_anchors, parse_pages
 from lexweave.sources.tables import sections
 from lexweave.streaming.progressive import ProgressiveSearch, recents_stream, shard_stream
 
@@ -47,7 +47,8 @@ def test_html(spark):
     page = '<h2 id="sec_1">Sec. 1.</h2><p>Body <a href="/x#f">one</a></p><p class="source">S</p><p class="history-first">H</p><h2 id="sec_2">Sec. 2.</h2><a href="/x">two</a><script>no</script>'
     rows = parse_pages(spark.createDataFrame([(1, page), (2, None)], "page_id bigint, html string")).cache()
     assert [(r.url, r.text) for r in merged_links(rows).collect()] == [("/x", "one two")]
-    s = anchored_sections(rows).orderBy("first").collect()
+    anchors = page_anchors(spark.createDataFrame([(1, page), (2, None), (None, "<p>x</p>")], "page_id bigint, html string"))
+    s = anchored_sections(anchors).orderBy("first").collect()
     assert (s[0].body, s[0].source, s[0].history) == (["Sec. 1.", "Body one"], ["S"], ["H"]) and s[1].anchor == "sec_2"
     assert html_rows("<p>a") [0]["text"] == "a"
 
@@ -64,6 +65,25 @@ def test_progressive_search(spark, sf_dir, tmp_path):
         ProgressiveSearch('"open')
 
 
+def test_progressive_search_replays_and_restarts(spark, sf_dir, tmp_path):
+    """A batch that comes again counts once, and a new process goes on from the stored state."""
+    d = sections(spark, sf_dir)
+    first, second = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")
+    p = ProgressiveSearch("the of", limit=5)
+    p.merge(first, 0)
+    p.merge(first, 0)
+    p.merge(second, 1)
+    want, total = [r.id for r in search.search(d, "the of", limit=5).collect()], search.total_matches(d, "the of").first()[0]
+    assert (p.total, p.batches, [r["id"] for r in p.results]) == (total, 2, want)
+    path, ck = str(tmp_path / "shards"), str(tmp_path / "ck")
+    first.coalesce(1).write.parquet(path)
+    ProgressiveSearch("the of", limit=5).run(shard_stream(spark, path, d.schema), ck).awaitTermination()
+    second.coalesce(1).write.mode("append").parquet(path)
+    again = ProgressiveSearch("the of", limit=5)
+    again.run(shard_stream(spark, path, d.schema), ck).awaitTermination()
+    assert (again.total, again.batches, [r["id"] for r in again.results]) == (total, 2, want)
+
+
 def test_recents_stream(spark, tmp_path):
     events = spark.createDataFrame([("u", "a", "2024-01-01 00:00:00"), ("u", "a", "2024-01-01 00:10:00"), ("u", "b", "2024-01-01 00:05:00")], "u string, k string, t string").withColumn("at", F.to_timestamp("t"))
     events.write.parquet(str(tmp_path / "events"))
