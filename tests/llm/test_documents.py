@@ -274,6 +274,22 @@ def test_byte_bpe(spark, monkeypatch):
             assert bpe.decode(bpe.encode(text)) == text.encode()
 
 
+def test_byte_bpe_columns_and_joins(spark):
+    """Ids and bytes as columns; every text above a leaf is joined, by windows that may grow."""
+    path, pattern = queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"), queries.split_pattern()
+    encoded = bytebpe.encode_texts(documents(spark), path, pattern)
+    back = bytebpe.decode_ids(encoded, path, pattern)
+    assert sorted((bytes(r.body).decode() for r in back.collect())) == sorted(t or "" for _, t, *_ in ROWS)
+    assert bytebpe.encode_texts(empty(spark), path, pattern).count() == 0
+    bpe = bytebpe.ByteBpe(bytebpe.read_ranks(path), pattern)
+    bpe.encode("short")
+    assert bpe.joins == 0
+    bpe.encode(LONG)
+    assert bpe.joins >= len(LONG) // bytebpe.TEXT_LEAF - 1 and bpe.grown == 0
+    bpe.encode("x" * 3000)
+    assert bpe.grown > 0
+
+
 def _plain_feature(payload):
     """The feature of a payload by arithmetic on its length and samples alone."""
     packets = -(-len(payload) // 1024)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 
@@ -124,6 +125,86 @@ def test_furniture_and_links_inside_a_container():
     assert main_text(f"<div><p>{a}</p>{links}{links}{links}<p>{b}</p>{links}</div>") == "\n".join([a, text, text, text, b, text])
 
 
+def test_text_that_names_or_markup_must_not_drop():
+    for name in ("notice-period", "social-history", "formation", "shareholders"):
+        assert main_text(f'<article><p>a</p><div class="{name}"><p>{LOREM}</p></div><p>b</p></article>') == f"a\n{LOREM.strip()}\nb"
+    assert main_text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == "If x=2 holds."
+    assert main_text(f'<div><p>{LOREM * 3}</p><p>See <a href="/">the whole long story of it all</a>.</p><p>{LOREM * 3}</p></div>').count("whole long story") == 1
+
+
+def _plain_article(sizes):
+    """Places between surge and dive for paragraphs of given sizes (0: links alone), window by
+    window: stretches whose windows are not empty, the heaviest of those that surge."""
+    n = len(sizes)
+    sums = [sum(sizes[j] for j in range(i, min(i + 3, n))) for i in range(n)]
+    level = max(sums, default=0) / 4
+    best, i = (0, -1, -1), 0
+    while i < n:
+        if not sums[i]:
+            i += 1
+            continue
+        j = i
+        while j < n and sums[j]:
+            j += 1
+        own = [k for k in range(i, j) if sizes[k]]
+        if max(sums[i:j]) >= level and sum(sizes[i:j]) > best[0]:
+            best = (sum(sizes[i:j]), own[0], own[-1])
+        i = j
+    return best[1], best[2]
+
+
+def test_windows_against_every_window():
+    """Bare paragraphs of random sizes, in containers of their own, against a plain version."""
+    rng = random.Random(9)
+    for _ in range(400):
+        sizes = [rng.choice([0, 0, 0, 7, 40, 300]) for _ in range(rng.randrange(1, 25))]
+        text = [f"{i} " + "x" * (n - len(f"{i} ")) if n else f"link {i}" for i, n in enumerate(sizes)]
+        page = "".join(f"<div><p>{t}</p></div>" if n else f'<div><p><a href="/">{t}</a></p></div>' for t, n in zip(text, sizes, strict=True))
+        first, last = _plain_article([len(t) if n else 0 for t, n in zip(text, sizes, strict=True)])
+        alone = {i for i, n in enumerate(sizes) if not n and any(all(not sizes[k] for k in range(s, s + 3)) for s in range(i - 2, i + 1) if s >= 0 and s + 3 <= len(sizes))}
+        want = [text[i] for i in range(first, last + 1) if i not in alone] if last >= 0 else []
+        assert main_text(page) == "\n".join(want), sizes
+
+
+def _random_page(rng):
+    """A page with its article's blocks known: furniture around and inside, markup broken as the
+    standard allows."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    furniture = [
+        lambda: "<nav><ul>" + "".join(f'<li><a href="/{word()}">{say(1)}</a></li>' for _ in range(rng.randrange(3, 9))) + "</ul></nav>", lambda: f'<div class="ad">{say(12)}</div>', lambda: f"<aside><p>{say(8)}</p></aside>",
+        lambda: f"<form><p>{say(3)}</p><input><button>{word()}</button></form>", lambda: f'<div id="cookie-notice"><p>{say(9)}</p></div>', lambda: f"<script>var x = '<p>{word()}</p>';</script>", lambda: f"<!-- {say(5)} -->",
+        lambda: f'<ul class="share-links"><li>{say(2)}<li>{say(2)}</ul>',
+    ]
+    blocks, inside = [], ""
+    for _ in range(rng.randrange(1, 9)):
+        text = say(rng.choice([1, 3, 25, 80]))
+        shown = rng.choice([text, text.replace(" ", " \n ", 1), f"<b>{text}", f'<a href="/x">{text.split(" ")[0]}</a>' + text[len(text.split(" ")[0]) :], text + "&amp;"])
+        blocks.append(text + "&" if shown.endswith("&amp;") else text)
+        inside += rng.choice([f"<p>{shown}</p>", f"<p>{shown}", f"<h2>{shown}</h2>", f"<div><p>{shown}</p></div>"])
+        if rng.random() < 0.3:
+            inside += rng.choice(furniture)()
+    blocks.append(long := say(60))
+    inside += f"<p>{long}</p>"
+    if rng.random() < 0.5:
+        inside += f'<section id="comments"><article><p>{say(90)}</p></article></section>'
+    tag = rng.choice(["article", "main", "article"])
+    around = lambda: "".join(rng.choice(furniture)() for _ in range(rng.randrange(4)))
+    return f"<!DOCTYPE html><html><head><title>{say(4)}</title><body>{around()}<header><p>{say(4)}</p></header>{around()}<{tag}>{inside}</{tag}>{around()}<footer>{say(7)}</footer></body></html>", blocks
+
+
+def test_pages_with_a_known_article():
+    rng = random.Random(4)
+    for _ in range(400):
+        page, blocks = _random_page(rng)
+        assert main_text(page) == "\n".join(blocks), page
+
+
+def test_very_long_page():
+    body = "".join(f"<p>{i} {LOREM}</p>" for i in range(20_000))
+    assert main_text(f"<nav><a href=/>x</a></nav><div>{body}</div>").count("\n") == 19_999
+
+
 def test_pages_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")]
     got = sorted((tuple(r) for r in extract_pages(pages(spark, rows)).collect()), key=repr)
