@@ -34,6 +34,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     )
 
 
+def with_least(members: DataFrame, value: str, name: str, parts: int = 16) -> DataFrame:
+    """``members`` (``node, root`` and ``value``) with ``name``, the least value under each root.
+
+    A root may have a large share of all members, so that the join back is dealt over ``parts``
+    keys a root; the other side has one row a root and key.
+    """
+    least = members.groupBy("root").agg(F.min(value).alias(name)).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    part = F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")
+    return members.withColumn("__part", part).join(least, ["root", "__part"]).drop("__part")
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
     return tuple(r)

@@ -23,13 +23,15 @@ from pyspark.sql import types as T
 
 from lexweave.llm import shingles
 from lexweave.llm.common import bound_batches, checkpointed, text_bytes
-from lexweave.llm.graph import connected_components
+from lexweave.llm.graph import connected_components, with_least
 
 SEED, BITS = 42, 64
 #: Distinct fingerprints per key value that the number of spare blocks aims at.
 BUCKET_AIM = 64
 #: Fingerprints of a bucket up to which one task scans its pairs.
 BUCKET_LIMIT = 4096
+#: Rows from which a fingerprint's component may be broadcast, and how many fingerprints may be.
+HOT_ROWS, HOT_PRINTS = 256, 10_000
 #: Shingles hashed before their bits are counted.
 _CHUNK = 1 << 15
 
@@ -172,12 +174,17 @@ def _half_way(rows: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
 def components(docs: DataFrame, max_bits: int = 4, width: int = 4, spare: int | None = None, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``doc_id, fp, component_id`` for every row; see ``near_duplicates``."""
     prints = checkpointed(with_fingerprints(docs, width))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     linked = connected_components(links(nodes.select("fp"), max_bits, spare, bucket_limit))
-    rooted = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+    members = linked.join(nodes.withColumnRenamed("fp", "node"), "node")
+    members = with_least(members, "first", "least").select(F.col("node").alias("fp"), "least", F.lit(True).alias("linked"))
+    own = F.when(F.col("linked"), F.col("least")).otherwise(F.col("first"))
+    found = checkpointed(nodes.join(members, "fp", "left").select("fp", "n", own.alias("component_id")))
+    # fingerprints of very many rows go to the rows; there are at most HOT_PRINTS of them
+    often = F.col("n") > max(HOT_ROWS, (found.agg(F.sum("n")).first()[0] or 0) // HOT_PRINTS)
+    hot = F.broadcast(found.where(often).drop("n"))
+    cold = prints.join(hot.select("fp"), "fp", "left_anti").join(found.where(~often).drop("n"), "fp")
+    return cold.unionByName(prints.join(hot, "fp")).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 4) -> DataFrame:
