@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import checkpointed
+from lexweave.llm.common import checkpointed, stored
 
 #: Word separators: ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -182,9 +182,10 @@ def estimate(counts: dict[int, int], n_rules: int, p: QualityParams) -> dict[int
 def score(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """``docs`` with statistics, ``base_failed``, ``posterior`` and ``kept`` (prefixed names).
 
-    The statistics are computed again where the result is used.
+    Rows and statistics are written to the shared folder, so that they are computed once.
     """
-    return _judged(with_statistics(docs).withColumn(_P + "pattern", _pattern()), params)
+    d = stored(with_statistics(docs).withColumn(_P + "pattern", _pattern()), "quality")
+    return _judged(d, params)
 
 
 def _judged(d: DataFrame, params: QualityParams) -> DataFrame:
