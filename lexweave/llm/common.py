@@ -50,10 +50,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fits(df: DataFrame, row_bytes: Column) -> bool:
+    """Whether the sum of a stored table's rows' bytes is measured to be under ``BROADCAST_BYTES``."""
+    return (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def bounded_if_small(df: DataFrame, row_bytes: Column) -> DataFrame:
-    """A stored table marked for broadcast if the sum of its rows' bytes is measured to be under
-    ``BROADCAST_BYTES``; else as it is, for a shuffled join."""
-    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES else df
+    """A stored table marked for broadcast if it ``fits``; else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df, row_bytes) else df
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexweave.llm import shingles
-from lexweave.llm.common import bound_batches, checkpointed, text_bytes
+from lexweave.llm.common import bound_batches, bounded_if_small, checkpointed, text_bytes
 from lexweave.llm.graph import connected_components, with_least
 
 SEED, BITS = 42, 64
@@ -213,9 +213,17 @@ def keep_one(docs: DataFrame, least: float = 0.8, width: int = 5, **limits: int)
     rows = shingles.with_nodes(docs, "__near_node")
     found = shingles.components(docs.select("doc_id", "text"), least, width, **limits)
     # nulls are the greatest here: a row without doc_id is kept only if no row has one
-    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
-    heads = found.groupBy("root").agg(F.min(head).alias("head"))
-    heads = heads.select(F.col("head.doc_id").alias("__near_id"), F.col("head.fp").alias("__near_fp"))
-    kept = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_node") == F.col("__near_fp")), "left_semi")
+    same = found.groupBy("root", "doc_id", "fp").agg(F.count("*").alias("n"))
+    heads = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n")).alias("head"))
+    heads = checkpointed(heads.select(F.col("head.doc_id").alias("__near_id"), F.col("head.fp").alias("__near_fp"), F.col("head.n").alias("__near_n")))
+
+    def kept(which: DataFrame) -> DataFrame:
+        own = F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_node") == F.col("__near_fp"))
+        return rows.join(bounded_if_small(which, F.lit(32)), own, "left_semi")
+
+    once, often = kept(heads.where("__near_n = 1")), heads.where("__near_n > 1")
+    if often.isEmpty():
+        return once.drop("__near_node")
     one = Window.partitionBy("doc_id", "__near_node").orderBy(F.col("text").asc_nulls_first())
-    return kept.withColumn("__near_row", F.row_number().over(one)).where("__near_row = 1").drop("__near_row", "__near_node")
+    first = kept(often).withColumn("__near_row", F.row_number().over(one)).where("__near_row = 1").drop("__near_row")
+    return once.unionByName(first).drop("__near_node")
