@@ -140,4 +140,7 @@ def pack_shards(items: DataFrame, group: str, order: str, size: Column, limit: i
 
 
 def shard_name(key: Column, shard: Column, shards: Column) -> Column:
-    return F.when(shards == 1, F.concat(key, F.lit(".json"))).otherwise(F.concat(key, F.lit("-"), F.lpad((shard + 1).cast("string"), 2, "0"), F.lit(".json")))
+    """``key.json`` of a single shard, else ``key-01.json`` on, with two digits at least."""
+    number = (shard + 1).cast("string")
+    padded = F.when(F.length(number) < 2, F.concat(F.lit("0"), number)).otherwise(number)
+    return F.when(shards == 1, F.concat(key, F.lit(".json"))).otherwise(F.concat(key, F.lit("-"), padded, F.lit(".json")))

@@ -1,11 +1,8 @@
-"""Small reports as Markdown, linked text, and the binding of an edition to its base."""
+"""Small reports as Markdown, and the binding of an edition to its base."""
 
 from __future__ import annotations
 
-import re
-from html import escape
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,29 +15,6 @@ def markdown_table(df: DataFrame, title: str, limit: int = 50) -> str:
     return "\n".join(lines) + "\n"
 
 
-def link_text(c: Column, targets: Column) -> Column:
-    """Escaped text with links where ``targets`` (map of lower-case section key to href) has the
-    section that the text names."""
-
-    def run(texts, maps):
-        import pandas as pd
-
-        pattern = re.compile(r"\b\d+[A-Za-z]*-\d+[A-Za-z]*\b")
-
-        def one(text, known):
-            known, out, at = dict(known or {}), [], 0
-            for m in pattern.finditer(text or ""):
-                href = known.get(m[0].lower())
-                if href:
-                    out += [escape((text or "")[at : m.start()]), f'<a href="{escape(href)}">{escape(m[0])}</a>']
-                    at = m.end()
-            return "".join(out) + escape((text or "")[at:])
-
-        return pd.Series([one(t, k) for t, k in zip(texts, maps, strict=True)])
-
-    return F.pandas_udf(run, "string")(c, targets)
-
-
 def binding_errors(editions: DataFrame, bases: DataFrame) -> DataFrame:
     """Editions whose recorded base (schema version, time, manifest hash) is not the base."""
     b = bases.select("base_id", *(F.col(c).alias(f"base_{c}") for c in ("schema_version", "generated_at", "manifest_sha256")))

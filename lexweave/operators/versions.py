@@ -7,9 +7,11 @@ does not stop a cluster job; ``require_none`` turns them into an exception.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,38 @@ def diff_metadata(before: DataFrame, after: DataFrame, keys: list[str], fields:
     return both.select(*keys, change.alias("change"), names.alias("changes")).where("change is not null")
 
 
+# The keys under which an entity holds what its references resolve to.
+RESOLUTION_KEYS = ("resolution", "authorityResolution")
+
+
+def resolution_split(body: Column) -> Column:
+    """Two SHA-256 of a JSON document, ``content`` without the resolutions at any depth and
+    ``resolution`` of them alone by their paths, over JSON with sorted keys; null stays null.
+
+    Documents are of any shape, so they are read in Arrow batches.
+    """
+
+    def digest(value: object) -> str:
+        return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+    def split(value: object, path: str, found: list) -> object:
+        if isinstance(value, list):
+            return [split(x, f"{path}/{i}", found) for i, x in enumerate(value)]
+        if not isinstance(value, dict):
+            return value
+        found += [[f"{path}/{k}", x] for k, x in value.items() if k in RESOLUTION_KEYS]
+        return {k: split(x, f"{path}/{k}", found) for k, x in value.items() if k not in RESOLUTION_KEYS}
+
+    def run(bodies: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in bodies:
+            found: list = []
+            out.append((None, None) if text is None else (digest(split(json.loads(text), "", found)), digest(sorted(found, key=lambda x: x[0]))))
+        return pd.DataFrame(out, columns=["content", "resolution"])
+
+    return F.pandas_udf(run, "content string, resolution string")(body)
+
+
 def hash_diff(before: DataFrame, after: DataFrame, samples: int = 50) -> DataFrame:
     """Changes of an entity table by id with a content and a resolution hash: ``id, change`` and
     ``sample`` (the first ``samples`` ids of a kind are shown in a report)."""

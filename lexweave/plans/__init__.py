@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("search_queries", "version_queries", "corpus_queries", "import_queries")
+TOPICS = ("search_queries", "version_queries", "corpus_queries", "import_queries", "reader_queries")
 
 
 def all_queries() -> tuple[dict, dict]:

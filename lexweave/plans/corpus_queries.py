@@ -447,7 +447,7 @@ def chapter_labels(spark, d):
 def reader_labels(spark, d):
     """Group letters, navigation labels, headings without their citation."""
     size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
-    cited = F.when(F.col("p_size") % 2 == 0, F.array(size)).otherwise(F.array(size, key))
+    cited = F.when(F.col("p_size") % 2 == 0, F.array(size, F.lit(""))).otherwise(F.array(size, F.concat(F.lit("1-"), key)))
     heading = tx.compact_heading(F.concat(F.lit("Sec. 1-"), size, F.lit(". "), "p_name"))
     name = F.concat(F.lit("- "), "p_name")
     return table(spark, d, "part").select("p_partkey", tx.group_letter(name).alias("letter"), tx.navigation_label(cited, F.lit("x")).alias("label"), heading.alias("heading"), tx.topic_letter(name).alias("topic"), tx.query_letter(name).alias("query"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +21,18 @@ def read_chapters(spark: SparkSession, path: str, glob: str = "*.json") -> DataF
     return spark.read.schema(CHAPTER).option("multiLine", True).option("pathGlobFilter", glob).json(path).withColumn("file", F.col("_metadata.file_name"))
 
 
+def dereference(catalog: DataFrame, chapters: DataFrame, titles: Sequence[str] | None = None) -> DataFrame:
+    """The catalog's chapters (``title_id, chapter_id, path``) with the columns of their files (by
+    the name in ``file``), of some titles or of all; an entry without a file raises. Files that
+    the catalog does not name give no row."""
+    wanted = catalog.where(F.col("title_id").isin(*titles)) if titles is not None else catalog
+    named = wanted.select("title_id", "chapter_id", "path", F.substring_index("path", "/", -1).alias("__file"))
+    found = chapters.select(*(c for c in chapters.columns if c not in ("title_id", "chapter_id", "path")))
+    j = named.join(found, F.col("__file") == F.col("file"), "left").drop("__file")
+    missing = F.raise_error(F.concat(F.lit("chapter file is missing: "), F.col("path"))).cast("string")
+    return j.withColumn("chapter_id", F.when(F.col("file").isNull(), missing).otherwise(F.col("chapter_id").cast("string")))
+
+
 def chapter_sections(chapters: DataFrame) -> DataFrame:
     return chapters.select(F.col("title.number").alias("title_number"), F.col("id").alias("chapter_id"), F.col("number").alias("chapter_number"), F.posexplode("sections").alias("position", "s")).select("title_number", "chapter_id", "chapter_number", "position", "s.*")
 

@@ -52,6 +52,13 @@ def page_links(rows: DataFrame, pages: DataFrame, key: str = "page_id", url: str
     return links.select("key", "page_url", "ordinal", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"), absolute(F.col("page_url"), F.col("href")).alias("href"))
 
 
+def crawl_order(key: Column) -> list[Column]:
+    """Titles and chapters in order: by number, length of the suffix, suffix, key."""
+    number = F.regexp_extract(key, r"^(?:art_)?0*(\d+)", 1).try_cast("bigint")
+    suffix = F.regexp_extract(key, r"^(?:art_)?0*\d+([a-z]*)$", 1)
+    return [F.coalesce(number, F.lit(0)), F.length(suffix), suffix, key]
+
+
 def contents(links: DataFrame, kind: str) -> DataFrame:
     """Title or chapter links of contents pages: ``page_url, key, label, name, url``, sorted.
 
@@ -73,9 +80,7 @@ def contents(links: DataFrame, kind: str) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~label, F.struct("ordinal", "text")))), lambda x: x["text"]), " ").alias("name"),
     )
     out = g.select("page_url", ident.alias("key"), F.coalesce("primary", fallback).alias("label"), "name", "url")
-    number = F.regexp_extract("key", r"^(?:art_)?0*(\d+)", 1).try_cast("bigint")
-    suffix = F.regexp_extract("key", r"^(?:art_)?0*\d+([a-z]*)$", 1)
-    return out.orderBy("page_url", F.coalesce(number, F.lit(0)), F.length(suffix), suffix, "key")
+    return out.orderBy("page_url", *crawl_order(F.col("key")))
 
 
 def group_keys(expression: Column) -> Column:

@@ -125,9 +125,13 @@ def test_command_line(spark, sf_dir, tmp_path, capsys):
 
 
 def test_linked_text_and_binding(spark):
-    from lexweave.operators.reports import binding_errors, link_text
-
-    d = spark.createDataFrame([("See 1-2A & 9-9", {"1-2a": "#/x"})], "t string, m map<string,string>")
-    assert d.select(link_text(F.col("t"), F.col("m")).alias("h")).first().h == 'See <a href="#/x">1-2A</a> &amp; 9-9'
+    from lexweave.functions.text import linked_text
+    from lexweave.operators.reports import binding_errors
+
+    rows = [("See Sections  1-2A & 9-9; section 9-9, chapter 3b", {"1-2a": "#/x?a&b"}, {"3b": "#/c"}), (None, None, None), ("section 1-1", None, None)]
+    d = spark.createDataFrame(rows, "t string, s map<string,string>, c map<string,string>")
+    linked = [r.h for r in d.select(linked_text(F.col("t"), F.col("s"), F.col("c")).alias("h")).collect()]
+    at = '<a class="legal-reference" href="{}">{}</a>'.format
+    assert linked == [f"See Sections {at('#/x?a&amp;b', '1-2A')} &amp; 9-9; section 9-9, chapter {at('#/c', '3b')}", "", "section 1-1"]
     e = spark.createDataFrame([("2026", "b", "1.0.0", "t", "h"), ("2025", "b", "1.0.0", "t", "other")], "edition string, base_id string, schema_version string, generated_at string, manifest_sha256 string")
     assert [(r.edition, r.wrong) for r in binding_errors(e, e.limit(1).drop("edition")).collect()] == [("2025", ["manifest_sha256"])]
