@@ -102,3 +102,42 @@ def overlay_errors(base: DataFrame, overlay: DataFrame, published: DataFrame, re
     ):
         out = out.unionByName(set_difference(expected, actual).select(F.lit(layer).alias("layer"), "problem", key.alias("key")))
     return out
+
+
+def corpus_errors(catalog: DataFrame, sections: DataFrame, documents: DataFrame, artifacts: DataFrame, recorded: DataFrame) -> DataFrame:
+    """A whole corpus against itself: ``layer, problem, key``, one row an error.
+
+    ``catalog`` has ``title_id, chapter_id, path, n_sections``; ``sections`` and the search
+    ``documents`` have ``title_id, chapter_id, id, heading, text``, sections also ``kind,
+    citation, citations``; ``artifacts`` and ``recorded`` have ``path, bytes, sha256`` as found
+    and as the manifest says. Texts meet as digests, so no text is shuffled.
+    """
+    chapter = F.concat_ws("/", "title_id", "chapter_id")
+    place = F.concat_ws("/", "title_id", "chapter_id", "id")
+
+    def error(d: DataFrame, layer: str, problem: str | Column, key: Column) -> DataFrame:
+        return d.select(F.lit(layer).alias("layer"), (F.lit(problem) if isinstance(problem, str) else problem).alias("problem"), key.alias("key"))
+
+    def repeated(d: DataFrame, layer: str, what: str, key: Column) -> DataFrame:
+        return error(d.groupBy(key.alias("k")).agg(F.count("*").alias("n")).where("n > 1"), layer, what, F.col("k"))
+
+    have = sections.groupBy("title_id", "chapter_id").agg(F.count("*").alias("have"))
+    counted = catalog.select("title_id", "chapter_id", F.col("n_sections").alias("want"), F.lit(True).alias("listed")).join(have, ["title_id", "chapter_id"], "full")
+    wrong = F.when(F.col("listed").isNull(), "not in the catalog").when(~F.coalesce("have", F.lit(0)).eqNullSafe(F.col("want")), "section count")
+    cited = F.size(F.coalesce("citations", F.array().cast("array<string>")))
+    shape = F.when((F.col("kind") == "section") & (F.col("citation").isNull() | (cited != 1)), "a section has one citation").when((F.col("kind") == "group") & F.col("citation").isNotNull(), "a group has no citation of its own")
+    digest = F.sha2(F.concat_ws("\0", F.coalesce("heading", F.lit("")), F.coalesce("text", F.lit(""))), 256)
+    canonical = sections.groupBy(place.alias("k")).agg(F.min(digest).alias("canonical"))
+    searched = documents.groupBy(place.alias("k")).agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+    both = canonical.join(searched, "k", "full")
+    stale = F.when(F.col("canonical").isNull(), "no canonical section").when(F.col("low").isNull(), "not searched").when((F.col("low") != F.col("canonical")) | (F.col("high") != F.col("canonical")), "stale")
+    kept = recorded.groupBy("path").agg(F.min("bytes").alias("bytes"), F.min("sha256").alias("sha256"))
+    parts = [
+        repeated(catalog, "catalog", "repeated chapter", chapter), repeated(catalog, "catalog", "repeated path", F.col("path")),
+        error(counted.withColumn("wrong", wrong).where("wrong is not null"), "catalog", F.col("wrong"), chapter),
+        repeated(sections, "sections", "repeated section", place), error(sections.withColumn("shape", shape).where("shape is not null"), "sections", F.col("shape"), place),
+        repeated(documents, "search", "repeated document", place), error(both.withColumn("stale", stale).where("stale is not null"), "search", F.col("stale"), F.col("k")),
+        repeated(recorded, "artifacts", "repeated record", F.col("path")), error(integrity_errors(artifacts, kept), "artifacts", F.col("problem"), F.col("path")),
+        error(catalog.join(kept, "path", "left_anti").join(artifacts, "path", "left_anti").select("path").distinct(), "artifacts", "neither found nor recorded", F.col("path")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

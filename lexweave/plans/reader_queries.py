@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as tx
-from lexweave.operators import folds, links, reports, search, versions
+from lexweave.operators import folds, links, reports, search, validate, versions
 from lexweave.sources import artifacts, crawl
 from lexweave.sources.tables import SECTIONS_SQL, sections, table
 
@@ -140,3 +140,27 @@ def shard_names(spark, d):
     e = table(spark, d, "events")
     shards = F.when(F.length("event_type") % 2 == 0, 1).otherwise(120)
     return e.select(links.shard_name(F.col("event_type"), F.col("user_id") % 120, shards).alias("name")).distinct()
+
+
+# whole corpora ----------------------------------------------------------------------------
+_DOCS_SQL = "SELECT lang AS title_id, source AS chapter_id, CAST(doc_id AS VARCHAR) AS id, doc_id FROM documents"
+
+
+@q(f"""WITH s AS ({_DOCS_SQL}), c AS (SELECT title_id, chapter_id, count(*) AS n, count(*) FILTER (doc_id % 90 = 5) AS bad FROM s GROUP BY 1, 2)
+SELECT 'catalog' AS layer, 'section count' AS problem, title_id || '/' || chapter_id AS key FROM c WHERE bad > 0
+UNION ALL SELECT 'sections', CASE WHEN doc_id % 40 = 0 THEN 'a group has no citation of its own' ELSE 'a section has one citation' END, title_id || '/' || chapter_id || '/' || id FROM s WHERE doc_id % 80 = 0 OR (doc_id % 90 = 7 AND doc_id % 40 <> 0)
+UNION ALL SELECT 'search', CASE doc_id % 50 WHEN 1 THEN 'not searched' WHEN 2 THEN 'stale' WHEN 3 THEN 'repeated document' ELSE 'not searched' END, title_id || '/' || chapter_id || '/' || id FROM s WHERE doc_id % 50 IN (1, 2, 3, 4)
+UNION ALL SELECT 'search', 'no canonical section', title_id || '/' || chapter_id || '/' || id || 'x' FROM s WHERE doc_id % 50 = 4
+UNION ALL SELECT 'artifacts', CASE WHEN n % 7 = 0 THEN 'sha256' ELSE 'size' END, title_id || '/' || chapter_id || '.json' FROM c WHERE n % 7 = 0 OR n % 7 = 1""")
+def corpus_validation(spark, d):
+    """All layers of a corpus in which some of everything is broken."""
+    t = table(spark, d, "documents")
+    k, key = F.col("doc_id"), F.col("doc_id").cast("string")
+    kind, two = F.when(k % 40 == 0, "group").otherwise("section"), k % 90 == 7
+    s = t.select(F.col("lang").alias("title_id"), F.col("source").alias("chapter_id"), key.alias("id"), kind.alias("kind"), F.when(k % 40 != 0, key).when(k % 80 == 0, key).alias("citation"), F.when(two, F.array(key, F.lit("x"))).otherwise(F.array(key)).alias("citations"), F.lit("H").alias("heading"), "text", "doc_id")
+    docs = s.where("doc_id % 50 <> 1").select("title_id", "chapter_id", F.when(k % 50 == 4, F.concat("id", F.lit("x"))).otherwise(F.col("id")).alias("id"), F.when(k % 50 == 2, "old").otherwise(F.col("heading")).alias("heading"), F.explode(F.array_repeat("text", F.when(k % 50 == 3, 2).otherwise(1))).alias("text"))
+    c = s.groupBy("title_id", "chapter_id").agg(F.count("*").alias("n"), F.count_if(k % 90 == 5).alias("bad"))
+    path = F.concat("title_id", F.lit("/"), "chapter_id", F.lit(".json")).alias("path")
+    catalog = c.select("title_id", "chapter_id", path, (F.col("n") + F.col("bad")).alias("n_sections"))
+    found, recorded = c.select(path, F.col("n").alias("bytes"), F.lit("a").alias("sha256")), c.select(path, F.when(F.col("n") % 7 == 1, 0).otherwise(F.col("n")).alias("bytes"), F.when(F.col("n") % 7 == 0, "b").otherwise("a").alias("sha256"))
+    return validate.corpus_errors(catalog, s.drop("doc_id"), docs, found, recorded)
