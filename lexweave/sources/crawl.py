@@ -1,4 +1,4 @@
-"""Rows of crawled pages (``sources.html.parse_pages``) to titles, chapters and section links.
+"""Crawled pages to titles, chapters and sections: rows of ``sources.html.parse_pages`` and whole crawls.
 
 A page is known by its url; every rule is a column expression, ordering inside a page is the
 row's ordinal, and "first wins" is a window over the page.
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as tx
+from lexweave.sources.html import page_anchors, parse_pages, section_content
 
 # The shapes of section keys, of page names and of the note of a former chapter.
 KEY = r"\d+[a-z]*-\d+[a-z]*(?:-\d+[a-z]*)?"
@@ -163,3 +164,70 @@ def inline_chapters(pages: DataFrame, rows: DataFrame, found: DataFrame, key: st
     d = noted.join(pages.select(F.col(key).alias("key"), F.substring_index(url, "#", 1).alias("url")), "key")
     shown = F.coalesce(F.nullif(F.regexp_replace("n", "^0+", ""), F.lit("")), F.lit("0"))
     return d.select(F.concat(F.lit("former-"), "n").alias("key"), F.concat(F.lit("Former Chapter "), shown).alias("label"), F.lit("Repealed and obsolete provisions").alias("name"), "url")
+
+
+def _links(pages: DataFrame) -> DataFrame:
+    return page_links(parse_pages(pages), pages).withColumn("page_url", tx.normalize_url(F.col("page_url")))
+
+
+def _listed(links: DataFrame, kind: str) -> DataFrame:
+    return contents(links.withColumn("href", tx.normalize_url(F.col("href"))), kind)
+
+
+def _fetched(wanted: DataFrame, pages: DataFrame, url: str, identity: str) -> DataFrame:
+    """``wanted`` with the ``page_id`` of its address; one that was not fetched raises."""
+    known = pages.groupBy(tx.normalize_url(F.col("url")).alias(url)).agg(F.min("page_id").alias("page_id"))
+    j = wanted.join(known, url, "left")
+    missing = F.raise_error(F.concat(F.lit("page was not fetched: "), F.col(url))).cast("string")
+    return j.withColumn(identity, F.when(F.col("page_id").isNull(), missing).otherwise(F.col(identity)))
+
+
+def crawl(pages: DataFrame, titles_url: str, titles: list[str] | None = None) -> DataFrame:
+    """The sections that fetched pages (``page_id, url, html``, from a replay, say) hold from the
+    page of all titles down, with title and chapter: every level is a join by address.
+
+    ``titles`` limits the crawl, and what it names has to be there. A listed page that was not
+    fetched raises. A title page without chapters may be a former chapter itself.
+    """
+    t = _listed(_links(pages.where(tx.normalize_url(F.col("url")) == titles_url)), "title")
+    t = t.select(F.col("key").alias("title_key"), F.col("label").alias("title_label"), F.col("name").alias("title_name"), F.col("url").alias("title_url"))
+    if titles is not None:
+        asked = pages.sparkSession.createDataFrame([(x,) for x in titles], "asked string").select(title_key(F.col("asked")).alias("asked")).distinct()
+        absent = F.raise_error(F.concat(F.lit("title was not found: "), F.col("asked"))).cast("string")
+        t = asked.join(t, F.col("asked") == F.col("title_key"), "left").withColumn("title_url", F.when(F.col("title_key").isNull(), absent).otherwise(F.col("title_url"))).drop("asked")
+    t = _fetched(t, pages, "title_url", "title_key")
+    own = pages.join(t.select("page_id").distinct(), "page_id", "left_semi")
+    links = _links(own).join(t.select(F.col("page_id").alias("key"), "title_key"), "key")
+    names = ["key", "label", "name", "url"]
+    listed = _listed(links, "chapter")
+    bare = own.join(listed.select(F.col("page_url").alias("u")).distinct(), tx.normalize_url(F.col("url")) == F.col("u"), "left_anti")
+    former = inline_chapters(bare, parse_pages(bare), section_links(links, F.col("title_key"))).withColumn("page_url", F.col("url"))
+    c = listed.select("page_url", *names).unionByName(former.select("page_url", *names))
+    c = c.select(F.col("page_url").alias("title_url"), *(F.col(n).alias(f"chapter_{n}") for n in names))
+    c = _fetched(c.join(t.drop("page_id"), "title_url"), pages, "chapter_url", "chapter_key")
+    leaves = pages.join(c.select("page_id").distinct(), "page_id", "left_semi")
+    of_title = c.select(F.col("page_id").alias("key"), "title_key").distinct()
+    found = _links(leaves).join(of_title, "key")
+    # a page that two titles list is read for each of them
+    shown = section_content(section_links(found.withColumn("page", F.col("key")), F.col("title_key")), page_anchors(leaves))
+    return c.withColumnRenamed("page_id", "key").join(shown, "key").drop("key")
+
+
+def title_exports(sections: DataFrame) -> DataFrame:
+    """Crawled sections as title exports (``sources.imports.RAW_TITLE``), one row a title.
+
+    An annotation is marked first where it is the first of its section. Titles without sections
+    give no row.
+    """
+    content = F.struct(
+        F.col("body").alias("body_paragraphs"), "source", "history", F.transform("annotation", lambda x, i: F.struct((i == 0).alias("first"), x.alias("text"))).alias("annotations"),
+        "text", F.nullif("status", F.lit("active")).alias("status"), "statuses",
+    )
+    one = F.struct(F.nullif("section_key", F.lit("")).alias("section_key"), "label", "url", "grouped", "section_keys", "source_fragment_key", "identifier_warning", content.alias("content"))
+    title, chapter = ["title_key", "title_label", "title_name", "title_url"], ["chapter_key", "chapter_label", "chapter_name", "chapter_url"]
+    in_order = lambda c: F.transform(F.array_sort(c), lambda x: x["x"])
+    g = sections.groupBy(*title, *chapter).agg(in_order(F.collect_list(F.struct(F.col("ordinal").alias("at"), one.alias("x")))).alias("sections"))
+    named = F.struct("chapter_key", F.col("chapter_label").alias("label"), F.col("chapter_name").alias("name"), F.col("chapter_url").alias("url"), "sections")
+    place = F.struct(*(x.alias(f"o{i}") for i, x in enumerate(crawl_order(F.col("chapter_key")))))
+    out = g.groupBy(*title).agg(in_order(F.collect_list(F.struct(place.alias("at"), named.alias("x")))).alias("chapters"))
+    return out.select("title_key", F.col("title_label").alias("label"), F.col("title_name").alias("name"), F.col("title_url").alias("url"), F.lit(None).cast("int").alias("supplement_year"), "chapters")
