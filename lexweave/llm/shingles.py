@@ -1,7 +1,9 @@
-"""Near copies by word shingles: min-hash bands for candidates, exact Jaccard for the verdict.
+"""Near copies by word shingles: SimHash and min-hash bands for candidates, exact Jaccard for the verdict.
 
 Two texts are linked if the Jaccard similarity of their sets of ``width``-word shingles is
-``least`` or more. Texts of the same words are one node. Texts at 0.8 share one of 32 bands of
+``least`` or more. Texts of the same words are one node. Candidates are texts whose SimHash
+fingerprints are within a few bits (the caller's ``near``) and, since texts at 0.8 differ in more
+bits than blocks of 64 can find, texts that share a band. Texts at 0.8 share one of 32 bands of
 5 min-hashes but for 3 in a million. Inside a band's bucket, 64 bytes of the min-hashes tell
 the texts that are far apart (below half of them equal; at 0.8 one pair in ten million) and the
 others are joined to clumps; the shingle sets of each clump are then compared exactly, one text
@@ -17,7 +19,7 @@ different components, so one that has been compared with everything (see ``sprea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import bound_batches, checkpointed, fits, stored, text_bytes
+from lexweave.llm.common import bound_batches, bounded_if_small, checkpointed, fits, stored, text_bytes
 from lexweave.llm.graph import connected_components
 
 SEED, BANDS, ROWS = 42, 32, 5
@@ -63,6 +65,16 @@ def sketch(shingles: np.ndarray) -> tuple[list[int], bytes]:
     return keys, (mins[:BYTES] & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def simhash(shingles: np.ndarray) -> int:
+    """64-bit SimHash of a shingle set as a signed long: a bit is 1 if set in over half of the
+    hashes; 0 of none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(shingles), _CHUNK):
+        part = shingles[i : i + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -163,16 +175,29 @@ def _candidates(nodes: DataFrame, bucket_nodes: int) -> DataFrame:
     return out.unionByName(star.distinct())
 
 
-def links(rows: DataFrame, docs: DataFrame, least: float = 0.8, width: int = 5, bucket_nodes: int = BUCKET_NODES, clump_bytes: int = CLUMP_BYTES) -> DataFrame:
-    """Edges ``a, b`` over the nodes of ``rows`` (``node, size, keys, sig``) with the components
-    of all pairs at ``least`` similarity or more; the texts are read from ``docs`` again.
+def _near_prints(nodes: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges ``a, b`` that join all texts (``node, print``) whose fingerprints are linked: texts
+    of one fingerprint by a star around the least node, and one text of each linked fingerprint."""
+    prints = checkpointed(nodes.groupBy("print").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    same = nodes.select("node", "print").join(bounded_if_small(prints.where("n > 1"), F.lit(24)), "print").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    edges, one = near(prints.select(F.col("print").alias("fp"))), prints.select("print", "least")
+    a = edges.join(one.withColumnsRenamed({"print": "a", "least": "x"}), "a")
+    return same.unionByName(a.join(one.withColumnsRenamed({"print": "b", "least": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def links(rows: DataFrame, docs: DataFrame, least: float = 0.8, width: int = 5, bucket_nodes: int = BUCKET_NODES, clump_bytes: int = CLUMP_BYTES, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Edges ``a, b`` over the nodes of ``rows`` (``node, size, print, keys, sig``) with the
+    components of all pairs at ``least`` similarity or more; the texts are read from ``docs`` again.
 
-    Texts without words (node 0) are linked to none; repeated rows are one node; an empty table
-    gives no edges. The limits only say where the work is done.
+    ``near`` gives the links of distinct fingerprints (``fp`` to ``a, b``); what they join is
+    compared as well as what the bands join. Texts without words (node 0) are linked to none;
+    repeated rows are one node; an empty table gives no edges. The limits only say where the work
+    is done.
     """
-    nodes = rows.where("node != 0").groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("size").alias("size"))
+    nodes = rows.where("node != 0").groupBy("node").agg(*(F.first(c).alias(c) for c in ("print", "keys", "sig", "size")))
     nodes = checkpointed(nodes)
-    clumps = connected_components(_candidates(nodes, bucket_nodes))
+    found = _candidates(nodes, bucket_nodes)
+    clumps = connected_components(found if near is None else found.unionByName(_near_prints(nodes, near)))
     weighed = clumps.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.sum("size").alias("size"))
     large = checkpointed(weighed.where(F.col("size") > clump_bytes).select("root"))
     any_large = not large.isEmpty()
@@ -279,23 +304,24 @@ def spread_links(sets: DataFrame, least: float, block_nodes: int = BLOCK_NODES,
         state = checkpointed(state.select("root", "node", F.coalesce("to", "node").alias("comp"), "size", (F.col("asked") | F.coalesce("now", F.lit(False))).alias("asked")))
 
 
-def components(docs: DataFrame, least: float = 0.8, width: int = 5, **limits: int) -> DataFrame:
+def components(docs: DataFrame, least: float = 0.8, width: int = 5, near: Callable[[DataFrame], DataFrame] | None = None, **limits: int) -> DataFrame:
     """``doc_id, fp, root`` for every row: the node of the text, and the least node reachable
-    over links. Texts without words are one node, linked to no other. ``limits`` are those of
-    ``links``."""
+    over links. Texts without words are one node, linked to no other. ``near`` and ``limits`` are
+    those of ``links``."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bodies = [x.as_py() for x in b.column(1)]
-            found = [sketch(shingle_set(x, width)) for x in bodies]
+            sets = [shingle_set(x, width) for x in bodies]
+            found = [sketch(x) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([node(x) for x in bodies], pa.int64()), pa.array([len(x) for x in bodies], pa.int64()), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.binary())],
-                names=["doc_id", "node", "size", "keys", "sig"],
+                [b.column(0), pa.array([node(x) for x in bodies], pa.int64()), pa.array([len(x) for x in bodies], pa.int64()), pa.array([simhash(x) for x in sets], pa.int64()), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.binary())],
+                names=["doc_id", "node", "size", "print", "keys", "sig"],
             )
 
-    schema = "doc_id bigint, node bigint, size bigint, keys array<bigint>, sig binary"
+    schema = "doc_id bigint, node bigint, size bigint, print bigint, keys array<bigint>, sig binary"
     rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(run, schema))
-    linked = connected_components(links(rows, docs, least, width, **limits))
+    linked = connected_components(links(rows, docs, least, width, near=near, **limits))
     found = rows.select("doc_id", "node").join(linked, "node", "left")
     return found.select("doc_id", F.col("node").alias("fp"), F.coalesce("root", "node").alias("root"))

@@ -199,19 +199,21 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, least: float = 0.8, width: int = 5, **limits: int) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = 0.8, width: int = 5, max_bits: int = 4, **limits: int) -> DataFrame:
     """``docs`` with one row of each component of texts whose ``width``-word shingles have a
     Jaccard similarity of ``least`` or more: that with the least doc_id.
 
-    The links are those of ``shingles`` (which has the ``limits``), not fingerprints within a
-    few bits: near copies at 0.8 differ in more bits than blocks can find. Rows of one doc_id
+    Fingerprints of the ``width``-word shingles within ``max_bits`` bits, found by ``links``, are
+    candidates; near copies at 0.8 differ in more bits than blocks can find, so the bands of
+    ``shingles`` (which has the ``limits``) add those further apart. The exact similarity then
+    decides about all of them. Rows of one doc_id
     with different texts are different documents. Of rows with the least doc_id in a component,
     that with the least hash of its words stays, then that with the least text (null first), of
     repeated rows any one; null doc_ids come last. Texts without words (null, empty, white
     space) are one group; columns of any name are kept; an empty table gives no rows.
     """
     rows = shingles.with_nodes(docs, "__near_node")
-    found = shingles.components(docs.select("doc_id", "text"), least, width, **limits)
+    found = shingles.components(docs.select("doc_id", "text"), least, width, lambda fps: links(fps, max_bits), **limits)
     # nulls are the greatest here: a row without doc_id is kept only if no row has one
     same = found.groupBy("root", "doc_id", "fp").agg(F.count("*").alias("n"))
     heads = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n")).alias("head"))

@@ -95,3 +95,25 @@ def test_repeated_doc_ids_with_different_texts(spark):
     rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (2, a + " more", "en", "s", 0), (None, b, "en", "s", 0), (None, "lone text", "en", "s", 0), (None, "lone text", "en", "s", 0)]
     got = simhash.keep_one(documents(spark, rows)).select("doc_id", "text").collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(1, a), (1, b), (None, "lone text")], key=repr)
+
+
+def test_fingerprints_give_candidates(spark, monkeypatch):
+    """Without any band, texts within four bits are found by their fingerprints alone and then
+    compared exactly: equal fingerprints and linked ones, but none below the similarity."""
+    monkeypatch.setattr(shingles, "_candidates", lambda nodes, bucket_nodes: nodes.select(nodes.node.alias("a"), nodes.node.alias("b")).limit(0))
+    r = random.Random(11)
+    texts, bases = [], [[f"w{k}.{r.randrange(10**6)}" for _ in range(2000)] for k in range(4)]
+    for base in bases:
+        texts.append(" ".join(base))
+        for i in (5, 700):
+            texts.append(" ".join([*base[:i], "changed", *base[i + 1 :]]))
+    texts += ["a lone text", "", None]
+    prints = [shingles.simhash(shingles.shingle_set((t or "").encode())) for t in texts]
+    bits = [((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() for i in range(0, 12, 3) for j in (i + 1, i + 2)]
+    assert max(bits) <= 4 and len(set(prints[:12])) > 4
+    docs = documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == [0, 3, 6, 9, 12, 13] == plain_heads(texts)
+    # nothing links texts that fingerprints of any distance join but similarity does not
+    near = lambda fps: fps.selectExpr("fp AS a").crossJoin(fps.selectExpr("fp AS b")).where("a > b").select("a", "b")
+    found = shingles.components(docs.select("doc_id", "text"), near=near)
+    assert found.select("root").distinct().count() == 6
