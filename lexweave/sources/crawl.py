@@ -46,10 +46,16 @@ def absolute(page: Column, href: Column) -> Column:
     )
 
 
-def page_links(rows: DataFrame, pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
-    """``key, page_url, ordinal, text, href`` with absolute addresses."""
-    p = pages.select(F.col(key).alias("key"), F.col(url).alias("page_url"))
-    links = rows.where("kind = 'link'").join(p, "key")
+def page_links(rows: DataFrame, pages: DataFrame | None = None, key: str = "page_id", url: str = "url") -> DataFrame:
+    """``key, page_url, ordinal, text, href`` with absolute addresses.
+
+    Rows that were parsed with their ``url`` need no ``pages``. Others are joined to them, sorted:
+    Spark takes parsed rows to be no larger than the columns their pages are made from, and would
+    broadcast them through the driver.
+    """
+    links = rows.where("kind = 'link'").where(F.col("key").isNotNull())
+    if "page_url" not in rows.columns:
+        links = links.hint("merge").join(pages.select(F.col(key).alias("key"), F.col(url).alias("page_url")), "key")
     return links.select("key", "page_url", "ordinal", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"), absolute(F.col("page_url"), F.col("href")).alias("href"))
 
 
@@ -167,7 +173,7 @@ def inline_chapters(pages: DataFrame, rows: DataFrame, found: DataFrame, key: st
 
 
 def _links(pages: DataFrame) -> DataFrame:
-    return page_links(parse_pages(pages), pages).withColumn("page_url", tx.normalize_url(F.col("page_url")))
+    return page_links(parse_pages(pages, url="url")).withColumn("page_url", tx.normalize_url(F.col("page_url")))
 
 
 def _listed(links: DataFrame, kind: str) -> DataFrame:

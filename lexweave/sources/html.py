@@ -73,21 +73,24 @@ _NAMES = ("kind", "tag", "css", "anchor", "text", "href")
 _ARROW = pa.schema([("key", pa.int64()), *((n, pa.string()) for n in _NAMES), ("ordinal", pa.int32())])
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per block or link of each page, in order."""
+def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html", url: str | None = None) -> DataFrame:
+    """One row per block or link of each page, in order; with ``url`` each has its page's as ``page_url``."""
+    carried = ["page_url"] if url else []
+    arrow = pa.schema([*_ARROW, *(pa.field(n, pa.string()) for n in carried)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns: dict[str, list] = {n: [] for n in _ARROW.names}
-            for k, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            columns: dict[str, list] = {n: [] for n in arrow.names}
+            for k, page, *of_page in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found = html_rows(page)
-                columns["key"] += [k] * len(found)
+                for n, v in zip(("key", *carried), (k, *of_page), strict=True):
+                    columns[n] += [v] * len(found)
                 for n in (*_NAMES, "ordinal"):
                     columns[n] += [r[n] for r in found]
-            yield pa.RecordBatch.from_pydict(columns, schema=_ARROW)
+            yield pa.RecordBatch.from_pydict(columns, schema=arrow)
 
-    schema = "key bigint, kind string, tag string, css string, anchor string, text string, href string, ordinal int"
-    return pages.select(F.col(key).cast("long").alias("key"), F.col(html).alias("html")).mapInArrow(run, schema)
+    schema = "key bigint, kind string, tag string, css string, anchor string, text string, href string, ordinal int" + ", page_url string" * len(carried)
+    return pages.select(F.col(key).cast("long").alias("key"), F.col(html).alias("html"), *(F.col(url).cast("string").alias(n) for n in carried)).mapInArrow(run, schema)
 
 
 def merged_links(rows: DataFrame) -> DataFrame:
